@@ -44,25 +44,68 @@ class WordTokenizer:
     """Ids by the tokenizers library, word by word.
 
     The pre-tokenizer ends every match at white space and no normalizer joins across it, so words between
-    spaces and line feeds have ids of their own. encode_batch gets the words a worker has not met.
+    spaces and line feeds have ids of their own, and a worker keeps those it has met. New words of letters
+    only are one match each; the library gets many of them as one text, whose ids fall apart at the
+    tokens that end a word. A single comma or full stop behind letters is a match of its own.
     """
 
     def __init__(self, path: str):
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
-        self.kind = np.dtype("<u2") if self.library.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
+        vocab = self.library.get_vocab()
+        self.kind = np.dtype("<u2") if len(vocab) <= 1 << 16 else np.dtype("<u4")
+        suffix = getattr(self.library.model, "end_of_word_suffix", None)
+        if not suffix:
+            raise ValueError("a vocabulary with a suffix for the ends of words is needed")
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[i for t, i in vocab.items() if t.endswith(suffix)]] = True
         self.known: dict[str, bytes] = {}
 
+    def learn(self, new: list[str]) -> None:
+        known, width = self.known, self.kind.itemsize
+        plain = lambda w: w.isalpha() and w.islower()
+        letters, marked, others = dict.fromkeys(filter(plain, new)), [], [",", "."]
+        for w in new:
+            if not plain(w):
+                if w[-1:] in (",", ".") and plain(base := w[:-1]):
+                    marked.append(w)
+                    if base not in known:
+                        letters[base] = None
+                else:
+                    others.append(w)
+        words = list(letters)
+        for at in range(0, len(words), 5000):
+            part = words[at : at + 5000]
+            ids = np.array(self.library.encode(" ".join(part), add_special_tokens=False).ids, self.kind)
+            ends, raw, start = (np.flatnonzero(self.ends[ids]) + 1) * width, ids.tobytes(), 0
+            if len(ends) != len(part):  # a letter that a normalizer takes apart
+                others += part
+                continue
+            for w, end in zip(part, ends.tolist(), strict=True):
+                known[w] = raw[start:end]
+                start = end
+        for at in range(0, len(others), 5000):
+            part = others[at : at + 5000]
+            for w, e in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False), strict=True):
+                known[w] = np.array(e.ids, self.kind).tobytes()
+        for w in marked:
+            known[w] = known[w[:-1]] + known[w[-1]]
+
+    def words(self, text: str) -> list[str]:
+        try:  # where lower case cannot depend on neighbours or on composition, it is taken before the look-up
+            text.encode("latin-1")
+            text = text.lower()
+        except UnicodeEncodeError:
+            pass
+        return text.replace("\n", " ").split(" ")
+
     def batch(self, texts: list[str]) -> list[bytes]:
-        split = [t.replace("\n", " ").split(" ") for t in texts]
+        split = [self.words(t) for t in texts]
         known = self.known
         if len(known) > KEPT_WORDS:
             known.clear()
         new = [*{w for words in split for w in words if w not in known}]
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            for w, e in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, self.kind).tobytes()
+        self.learn(new)
         out = [b"".join([known[w] for w in words]) for words in split]
         for w in new:
             if len(w) > LONGEST_KEPT:
@@ -80,7 +123,7 @@ def loaded(path: str) -> WordTokenizer:
 
 
 def tokenize(docs: DataFrame, tokenizer: str) -> DataFrame:
-    """doc_id, source, n_tokens (without the end id) and ids (little-endian, 2 bytes each, 4 for large vocabularies)."""
+    """doc_id, source, n_tokens (without the end id) and ids (little-endian, 2 bytes each, or 4 for large vocabularies)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from maskwerk.llm import packing, sentencepieces, sharding
+from maskwerk.llm import packing, sentencepieces, sharding, suffixes
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_sharding": sharding.op1_sharding,
         "op3_packing": packing.op3_packing,
         "op7_sentencepiece": sentencepieces.op7_sentencepiece,
+        "op9_suffix_dedup": suffixes.op9_suffix_dedup,
     }
 
 
