@@ -33,8 +33,8 @@ SEQUENCES = 64
 END_ID = 1
 #: Queues with a credit of their own; with more sources, hashes of their names share these.
 QUEUES = 4096
-#: Documents of one queue in one task, about.
-RUN = 4000
+#: Documents of one queue that are cut in one go, about.
+RUN = 1000
 #: Words that a worker keeps, about 150 bytes each; beyond that it starts anew.
 KEPT_WORDS = 900_000
 LONGEST_KEPT = 64
@@ -205,9 +205,10 @@ def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, sequences: int =
         if weights:
             raise ValueError(f"target proportions for more than {queues // 2} sources")
         name = F.concat(F.lit("h"), F.pmod(F.xxhash64("source"), F.lit(queues)).cast("string"))
-    rows = tokens.count()
-    runs = max(1, -(-rows // RUN))
-    tokens = tokens.withColumns({"queue": name, "run": F.pmod(F.xxhash64("doc_id", "n_tokens"), F.lit(runs)).cast("int")})
+    tokens = tokens.withColumn("queue", name)
+    # A row for each queue, `queues` at most: how many runs its documents are split into.
+    runs = tokens.groupBy("queue").agg(F.ceil(F.count("*") / RUN).cast("int").alias("runs"))
+    tokens = tokens.join(F.broadcast(runs), "queue").withColumn("run", F.pmod(F.xxhash64("doc_id", "n_tokens"), F.col("runs")).cast("int"))
     sums = tokens.groupBy("queue", "run").agg(F.sum(F.col("n_tokens") + 1).alias("n"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("queue").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = sums.select("queue", "run", before.alias("before"))
