@@ -2,10 +2,10 @@
 
 A score-ordered agenda holds the adjacent pairs of symbols whose union is a piece. The best pair merges
 (ties: the leftmost), its neighbours enter the agenda, until none is left; symbols that are no pieces
-become their bytes. No piece holds a space sign after another character or a line feed, so that a text
-falls into segments which merge independently; each worker keeps the segments it has met. The segments
-that are new in an Arrow batch, and one whole document of the batch, are checked against the
-sentencepiece library, both ways.
+become their bytes. Two neighbouring characters that no piece holds side by side never come into one
+symbol, so that a text falls into parts which merge independently: segments, which begin with space signs,
+and in them atoms. Each worker keeps the segments and atoms it has met. The atoms that are new in an Arrow
+batch, and one whole document of the batch, are checked against the sentencepiece library, both ways.
 
 Defined results: a null text counts as empty, with just the begin and end ids; repeated rows and null ids
 are kept; an empty table gives no rows; only doc_id and text are read.
@@ -28,8 +28,8 @@ from maskwerk.llm.common import documents
 SPACE = "▁"
 #: Segments: space signs and what follows them up to the next one, or a part of a line without, or line feeds.
 SEGMENT = re.compile(f"{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+|\n+")
-#: Segments that a worker keeps, about 200 bytes each; beyond that it starts anew.
-KEPT_SEGMENTS = 700_000
+#: Segments and atoms that a worker keeps, about 180 bytes each; beyond that it starts anew.
+KEPT = 1_200_000
 LONGEST_KEPT = 64
 
 
@@ -48,7 +48,10 @@ class AgendaBPE:
         self.begin, self.end = lib.bos_id(), lib.eos_id()
         if any(SPACE in p.lstrip(SPACE) or "\n" in p for p in self.scores):
             raise ValueError("pieces cross words or lines; segments would not merge independently")
-        self.known: dict[str, tuple[bytes, str]] = {}
+        self.pairs = {p[i : i + 2] for p in self.scores for i in range(len(p) - 1)}
+        self.known: dict[str, bytes] = {}
+        #: What segments decode to, where it is not their own text.
+        self.other: dict[str, str] = {}
 
     def merge(self, symbols: str) -> list[int]:
         """Ids of one segment, by the agenda."""
@@ -100,39 +103,54 @@ class AgendaBPE:
     def segments(self, text: str) -> list[str]:
         return SEGMENT.findall(SPACE + text.replace(" ", SPACE)) if text else []
 
-    def learn(self, segments: set[str]) -> None:
-        """Encodes and decodes new segments and holds them against the library."""
-        new = [s for s in segments if s not in self.known]
-        # The library puts a space sign before a text and drops it again; behind a line feed all is left as it is.
-        theirs = self.library.encode(["\n" + s for s in new], num_threads=1)
-        decoded = self.library.decode(theirs, num_threads=1) if new else []
-        for s, ids, back in zip(new, theirs, decoded, strict=True):
-            own = self.merge(s)
-            text = self.unpiece(own)
-            if own != ids[2:] or text.replace(SPACE, " ") != back[1:]:
-                raise ValueError(f"the agenda and the library differ on {s!r}: {own} and {ids}")
-            self.known[s] = (array("I", own).tobytes(), text.replace(SPACE, " "))
+    def atoms(self, segment: str) -> list[str]:
+        pairs = self.pairs
+        cuts = [i for i in range(1, len(segment)) if segment[i - 1 : i + 1] not in pairs]
+        return [segment[a:b] for a, b in zip([0, *cuts], [*cuts, len(segment)], strict=True)] if cuts else [segment]
+
+    def learn(self, segments: list[str]) -> None:
+        """Encodes and decodes new segments; their new atoms are held against the library."""
+        known = self.known
+        cut = {s: self.atoms(s) for s in segments}
+        new = [*{a for x in cut.values() for a in x if a not in known}]
+        for a in new:
+            known[a] = array("I", self.merge(a)).tobytes()
+            if (back := self.unpiece(array("I", known[a]).tolist())) != a:
+                self.other[a] = back
+        # Between line feeds the library merges each atom by itself.
+        for at in range(0, len(new), 10_000):
+            part = [a for a in new[at : at + 10_000] if "\n" not in a]
+            text = "".join([f"\n{a}" for a in part]).replace(SPACE, " ")
+            feed = array("I", [self.byte_ids[10]]).tobytes()
+            own = array("I", b"".join([feed + known[a] for a in part])).tolist()
+            theirs = self.library.encode(text)
+            back = "".join(["\n" + self.other.get(a, a) for a in part]).replace(SPACE, " ")
+            if part and (theirs[1:] != own or self.library.decode(theirs) != back):
+                raise ValueError(f"the agenda and the library differ on one of {part[:20]} ...")
+        for s, parts in cut.items():
+            if len(parts) > 1:
+                known[s] = b"".join([known[a] for a in parts])
+                if any(a in self.other for a in parts):
+                    self.other[s] = "".join([self.other.get(a, a) for a in parts])
 
     def batch(self, texts: list[str]) -> Iterator[tuple[bytes, str]]:
         """Ids (little-endian, 4 bytes each, with begin and end) and decoded text of each text."""
-        begin, end = array("I", [self.begin]).tobytes(), array("I", [self.end]).tobytes()
-        for k, text in enumerate(texts):
-            parts = self.segments(text)
-            known = self.known
-            try:
-                met = [known[s] for s in parts]
-            except KeyError:
-                if len(known) > KEPT_SEGMENTS:
-                    known.clear()
-                self.learn(set(parts))
-                met = [known[s] for s in parts]
-                for s in {s for s in parts if len(s) > LONGEST_KEPT}:
-                    del known[s]
-            ids = begin + b"".join([m[0] for m in met]) + end
-            back = "".join([m[1] for m in met])[1:]
+        begin, end, known = array("I", [self.begin]).tobytes(), array("I", [self.end]).tobytes(), self.known
+        split = [self.segments(t) for t in texts]
+        if len(known) > KEPT:
+            known.clear()
+            self.other.clear()
+        new = [*{s for parts in split for s in parts if s not in known}]
+        self.learn(new)
+        for k, (text, parts) in enumerate(zip(texts, split, strict=True)):
+            ids = begin + b"".join([known[s] for s in parts]) + end
+            back = "".join([self.other.get(s, s) for s in parts] if self.other else parts)[1:].replace(SPACE, " ")
             if not k and (array("I", ids).tolist() != self.library.encode(text, add_bos=True, add_eos=True) or back != self.library.decode(array("I", ids).tolist())):
                 raise ValueError("the agenda and the library differ on a document")
             yield ids, back
+        for s in new:
+            if len(s) > LONGEST_KEPT:
+                del known[s]
 
 
 _loaded: dict[str, AgendaBPE] = {}
