@@ -45,6 +45,7 @@ class AgendaBPE:
         self.scores = {self.pieces[i]: -lib.get_score(i) for i in plain}
         self.bytes = {i: int(self.pieces[i][3:5], 16) for i in range(n) if lib.is_byte(i)}
         self.byte_ids = {b: i for i, b in self.bytes.items()}
+        self.shown = ["" if lib.is_control(i) else p for i, p in enumerate(self.pieces)]
         self.begin, self.end = lib.bos_id(), lib.eos_id()
         if any(SPACE in p.lstrip(SPACE) or "\n" in p for p in self.scores):
             raise ValueError("pieces cross words or lines; segments would not merge independently")
@@ -84,6 +85,8 @@ class AgendaBPE:
 
     def unpiece(self, ids: list[int]) -> str:
         """Text of a segment's ids, space signs still in it; bytes that are no UTF-8 become U+FFFD each."""
+        if self.bytes.keys().isdisjoint(ids):
+            return "".join([self.shown[i] for i in ids])
         out, run = [], bytearray()
         for i in [*ids, None]:
             if i in self.bytes:
@@ -92,8 +95,8 @@ class AgendaBPE:
             if run:
                 out.append(run.decode("utf-8", "replace"))
                 run.clear()
-            if i is not None and not (self.library.is_control(i)):
-                out.append(self.pieces[i])
+            if i is not None:
+                out.append(self.shown[i])
         return "".join(out)
 
     def decode(self, ids: list[int]) -> str:
