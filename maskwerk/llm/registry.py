@@ -6,14 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from maskwerk.llm import packing, sentencepieces, sharding, suffixes
+from maskwerk.llm import packing, quality, secrets, sentencepieces, sharding, suffixes
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sharding": sharding.op1_sharding,
+        "op2_secret_scans": secrets.op2_secret_scans,
         "op3_packing": packing.op3_packing,
         "op7_sentencepiece": sentencepieces.op7_sentencepiece,
+        "op8_quality_rules": quality.op8_quality_rules,
         "op9_suffix_dedup": suffixes.op9_suffix_dedup,
     }
 
