@@ -211,7 +211,7 @@ def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, sequences: int =
     tokens = tokens.join(F.broadcast(runs), "queue").withColumn("run", F.pmod(F.xxhash64("doc_id", "n_tokens"), F.col("runs")).cast("int"))
     sums = tokens.groupBy("queue", "run").agg(F.sum(F.col("n_tokens") + 1).alias("n"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("queue").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = sums.select("queue", "run", before.alias("before"))
+    starts = sums.select(F.col("queue").alias("q_"), F.col("run").alias("r_"), before.alias("before"))
     totals = {r["queue"]: r["n"] for r in sums.groupBy("queue").agg(F.sum("n").alias("n")).collect()}
     schedule = Schedule(totals, weights and {f"s{k}": v for k, v in weights.items()}, sequences * length)
     wide = loaded(tokenizer).kind.itemsize == 4
@@ -236,7 +236,7 @@ def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, sequences: int =
         kinds = (pa.int64(), pa.string(), *[pa.int64()] * 6, pa.binary())
         yield pa.RecordBatch.from_pydict({c: pa.array(v, k) for (c, v), k in zip(out.items(), kinds, strict=True)})
 
-    pieces = tokens.groupBy("queue", "run").cogroup(starts.groupBy("queue", "run"))
+    pieces = tokens.groupBy("queue", "run").cogroup(starts.groupBy("q_", "r_"))
     return pieces.applyInArrow(lambda key, a, b: pa.Table.from_batches(cut(key, a.to_batches(), b.to_batches())), "doc_id long, source string, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary")
 
 
