@@ -24,10 +24,11 @@ COMMON = {
     "es": ["de", "la", "que", "el", "en", "y", "a", "los", "se", "las", "un", "por"],
     "fr": ["de", "la", "le", "et", "les", "des", "en", "un", "du", "une", "que", "est"],
 }
-# Character classes, as Java patterns; the rest is a class of its own.
-CLASSES = {"lower": r"\p{Ll}+", "upper": r"\p{Lu}+", "digit": r"\p{Nd}+", "symbol": r"[#*$%&|<>]+", "mark": r"""[.,;:!?'"()\[\]{}/=_+@\\-]+""", "white": WHITE}
+# Character classes, as Java patterns. White space and the rest, mostly small letters, are two more.
+CLASSES = {"upper": r"\p{Lu}+", "digit": r"\p{Nd}+", "symbol": r"[#*$%&|<>]+", "mark": r"""[.,;:!?'"()\[\]{}/=_+@\\-]+"""}
+#: What classes other than the last two are looked for in the rest of.
+PLAIN = r"[a-z\x20\n]+"
 
-SYMBOLS = r"[#*$%&|<>]+"
 WINDOW = 8
 LEAST_WORDS = 20
 MOST_REPEATED = 30
@@ -48,19 +49,20 @@ def _counted(docs: DataFrame) -> DataFrame:
     lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
     out = docs.withColumns({"_text": F.coalesce(F.col("text").cast("string"), F.lit("")), "_lang": F.when(lang.isin(*COMMON), lang)})
     out = out.withColumns({"_words": F.array_remove(F.split("_text", WHITE), ""), "_list": common[F.col("_lang")], "_chars": F.length("_text")})
-    out = out.withColumn("_n", F.size("_words"))
-    classes = [_without(F.col("_text"), p) for p in CLASSES.values()]
-    out = out.withColumn("_classes", F.array(*[c.cast("long") for c in classes]))
-    out = out.withColumn("_classes", F.concat("_classes", F.array((F.col("_chars") - sum((F.col("_classes")[i] for i in range(len(CLASSES))), F.lit(0))).cast("long"))))
+    out = out.withColumns({"_n": F.size("_words"), "_letters": F.length(F.array_join("_words", "")), "_odd": F.regexp_replace("_text", PLAIN, "")})
+    own = [_without(F.col("_odd"), p) for p in CLASSES.values()]
+    out = out.withColumn("_classes", F.array(*[c.cast("long") for c in own], (F.col("_chars") - F.col("_letters")).cast("long")))
+    out = out.withColumn("_classes", F.concat("_classes", F.array((F.col("_chars") - sum((F.col("_classes")[i] for i in range(len(CLASSES) + 1)), F.lit(0))).cast("long"))))
     words = [(F.col("_n") - F.size(F.array_remove("_words", F.col("_list")[i]))).cast("long") for i in range(12)]
     out = out.withColumn("_common", F.when(F.col("_lang").isNotNull(), F.array(*words)))
     return out.withColumn("_common", F.concat("_common", F.array((F.col("_n") - sum((F.col("_common")[i] for i in range(12)), F.lit(0))).cast("long"))))
 
 
-def references(docs: DataFrame) -> DataFrame:
+def references(counted: DataFrame) -> DataFrame:
     """_ref, ref_classes, ref_common: shares over all documents of each known language; at most a row for each."""
-    sums = _counted(docs.select("text", "lang")).filter("_lang is not null").groupBy("_lang").agg(
-        *[F.sum(F.col("_classes")[i]).alias(f"c{i}") for i in range(len(CLASSES) + 1)],
+    n = len(CLASSES) + 2
+    sums = counted.filter("_lang is not null").groupBy("_lang").agg(
+        *[F.sum(F.col("_classes")[i]).alias(f"c{i}") for i in range(n)],
         *[F.sum(F.col("_common")[i]).alias(f"w{i}") for i in range(13)],
     )
 
@@ -68,7 +70,7 @@ def references(docs: DataFrame) -> DataFrame:
         total = sum((F.col(f"{letter}{i}") for i in range(n)), F.lit(0))
         return F.array(*[F.col(f"{letter}{i}") / F.greatest(total, F.lit(1)) for i in range(n)])
 
-    return sums.select(F.col("_lang").alias("_ref"), shares("c", len(CLASSES) + 1).alias("ref_classes"), shares("w", 13).alias("ref_common"))
+    return sums.select(F.col("_lang").alias("_ref"), shares("c", n).alias("ref_classes"), shares("w", 13).alias("ref_common"))
 
 
 def distance(counts: Column, shares: Column) -> Column:
@@ -95,7 +97,7 @@ def base_rules(counted: DataFrame) -> DataFrame:
     covered = F.aggregate("_at", start, lambda a, i: F.struct((a["n"] + F.least(F.lit(WINDOW), i - a["last"])).alias("n"), i.alias("last")))["n"]
     out = out.withColumns({
         "n_words": F.col("_n").cast("long"),
-        "word_chars": (F.col("_chars") - F.col("_classes")[list(CLASSES).index("white")]).cast("long"),
+        "word_chars": F.col("_letters").cast("long"),
         "n_symbols": F.col("_classes")[list(CLASSES).index("symbol")],
         "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
         "n_repeat_words": F.coalesce(covered, F.lit(0)).cast("long"),
@@ -103,21 +105,23 @@ def base_rules(counted: DataFrame) -> DataFrame:
     return out.withColumn("base_failed", (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words")))
 
 
-def judged(docs: DataFrame, refs: DataFrame) -> DataFrame:
-    """docs with the base rules' columns, class_distance, word_distance and kept. Narrow: no shuffle.
+def judged(docs: DataFrame, keep_text: bool = True) -> DataFrame:
+    """docs with the base rules' columns, class_distance, word_distance and kept; without text unless keep_text.
 
-    refs has a row for each language of COMMON at most, so that it may be broadcast.
+    Texts are read once: what is counted in them is written with docs' columns, and the references and
+    verdicts are made from that. The references have a row for each language of COMMON at most, so that
+    they may be broadcast.
     """
-    made = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "class_distance", "word_distance", "kept", "ref_classes", "ref_common")
-    out = base_rules(_counted(docs.drop(*made)))
-    out = out.join(F.broadcast(refs), F.col("_lang") == F.col("_ref"), "left")
+    made = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "class_distance", "word_distance", "kept")
+    given = [c for c in docs.columns if c not in made and (keep_text or c != "text")]
+    counted = base_rules(_counted(docs.drop(*made))).select(*given, *made[:6], "_lang", "_classes", "_common")
+    counted = written(counted, "counted")
+    out = counted.join(F.broadcast(references(counted)), F.col("_lang") == F.col("_ref"), "left")
     out = out.withColumns({"class_distance": distance(F.col("_classes"), F.col("ref_classes")), "word_distance": distance(F.col("_common"), F.col("ref_common"))})
     far = (F.col("class_distance") > MOST_CLASSES) | (F.col("word_distance") > MOST_COMMON + NOISE / F.sqrt(F.col("n_words")))
     out = out.withColumn("kept", ~F.col("base_failed") & ~F.coalesce((F.col("n_words") >= GUARD_WORDS) & far, F.lit(False)))
-    return out.drop(*[c for c in out.columns if c.startswith("_") and c not in docs.columns], "ref_classes", "ref_common")
+    return out.select(*given, *made)
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir).select("doc_id", "text", "lang")
-    out = judged(docs, written(references(docs), "languages"))
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "class_distance", "word_distance")
+    return judged(documents(spark, sf_dir).select("doc_id", "text", "lang"), keep_text=False).drop("lang")
