@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from maskwerk.llm import packing, quality, secrets, sentencepieces, sharding, suffixes
+from maskwerk.llm import ngrams, packing, quality, secrets, sentencepieces, sharding, suffixes
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_sentencepiece": sentencepieces.op7_sentencepiece,
         "op8_quality_rules": quality.op8_quality_rules,
         "op9_suffix_dedup": suffixes.op9_suffix_dedup,
+        "op10_ngram_join": ngrams.op10_ngram_join,
     }
 
 
