@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from maskwerk.llm import ngrams, packing, quality, secrets, sentencepieces, sharding, suffixes
+from maskwerk.llm import fingerprints, licenses, ngrams, packing, quality, secrets, sentencepieces, sharding, suffixes
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_sharding": sharding.op1_sharding,
         "op2_secret_scans": secrets.op2_secret_scans,
         "op3_packing": packing.op3_packing,
+        "op4_fingerprints": fingerprints.op4_fingerprints,
+        "op5_license_scans": licenses.op5_license_scans,
         "op7_sentencepiece": sentencepieces.op7_sentencepiece,
         "op8_quality_rules": quality.op8_quality_rules,
         "op9_suffix_dedup": suffixes.op9_suffix_dedup,
@@ -22,4 +24,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op4_fingerprints": fingerprints.ORACLE_SQL,
+        "op5_license_scans": licenses.oracle_sql(),
+    }
