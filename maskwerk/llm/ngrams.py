@@ -30,6 +30,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from maskwerk.llm import blocks as B
 from maskwerk.llm.common import BLOCK_BYTES, documents, text_bytes, written
@@ -142,7 +144,7 @@ class Join:
         out[order] = same[1:] | same[:-1] | (keys[order] & 1 == 1)
         return [np.packbits(out[a:b]).tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)]
 
-    def survivors(self, block: int, table: pa.Table, replies: pa.Table) -> pa.Table:
+    def survivors(self, block: int, table: pa.Table, replies: pa.Table, keep: list[str]) -> pa.Table:
         """A row for each document; node and tokens (those that others have) only where it may link."""
         texts = B.Texts(table)
         sets = Sets(texts, self.n)
@@ -156,7 +158,8 @@ class Join:
         may = (self.den * sets.sum_of(some.astype(np.int64)) >= self.num * sets.sizes) & (sets.sizes > 0)
         keys = sets.keys().view(np.int64)
         kept = [sets.tokens[a:b][some[a:b]].tobytes() if m else None for a, b, m in zip(sets.begin[:-1], sets.begin[1:], may, strict=True)]
-        return pa.table({"doc_id": texts.doc_id, "n_shingles": pa.array(sets.sizes), "node": pa.array(keys, mask=~may), "tokens": pa.array(kept, pa.binary())})
+        out = {"doc_id": texts.doc_id, "n_shingles": pa.array(sets.sizes), "node": pa.array(keys, mask=~may), "tokens": pa.array(kept, pa.binary())}
+        return pa.table(out | {c: texts.table[c] for c in keep})
 
     def prefix(self, sizes: np.ndarray, tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Prefix n-grams of classes, and which class each is of.
@@ -274,14 +277,15 @@ class Join:
         return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
 
-def join(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100, block_bytes: int = BLOCK_BYTES, cluster: int = CLUSTER) -> DataFrame:
-    """doc_id, n_shingles, node (a class of equal sets; null where nothing can link) and component_id."""
+def _joined(docs: DataFrame, n: int, num: int, den: int, block_bytes: int, cluster: int, keep: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, n_shingles, node, the columns of keep) and, by node, labels (root, component)."""
     total = int(docs.agg(F.sum(text_bytes())).first()[0] or 0)
     blocks = max(16, -(-total // block_bytes))
     steps = Join(n, num, den, blocks)
-    dealt = B.in_blocks(docs, blocks)
+    dealt = B.in_blocks(docs, blocks, [c for c in keep if c != "text"])
     replies = B.answer(B.ask(dealt, steps.ask), steps.answer)
-    rows = written(B.told(dealt, replies, steps.survivors, "doc_id long, n_shingles long, node long, tokens binary"), "sets")
+    fields = T._parse_datatype_string("doc_id long, n_shingles long, node long, tokens binary").fields + [dealt.schema[c] for c in keep]
+    rows = written(B.told(dealt, replies, lambda b, t, r: steps.survivors(b, t, r, keep), T.StructType(fields)), "sets")
     some = rows.filter("node is not null")
     classes = some.groupBy("node").agg(F.min("doc_id").alias("lowest"), F.min("n_shingles").alias("n_shingles"), F.max("tokens").alias("tokens"))
     classes = written(classes, "classes")
@@ -299,10 +303,27 @@ def join(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100, block_bytes
     parts = components(links)
     named = parts.join(classes.select("node", "lowest"), "node").groupBy("root").agg(F.min("lowest").alias("component"))
     alone = classes.select("node", "lowest").join(parts, "node", "left").join(named, "root", "left")
-    labels = alone.select("node", F.coalesce("component", "lowest").alias("component"))
-    out = rows.select("doc_id", "n_shingles", "node").join(labels, "node", "left")
-    return out.select("doc_id", "n_shingles", "node", F.coalesce("component", "doc_id").alias("component_id"))
+    return rows.drop("tokens"), alone.select(F.col("node").alias("_node"), F.coalesce("root", "node").alias("root"), F.coalesce("component", "lowest").alias("component"))
+
+
+def join(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100, block_bytes: int = BLOCK_BYTES, cluster: int = CLUSTER) -> DataFrame:
+    """doc_id, n_shingles and component_id of each row."""
+    rows, labels = _joined(docs, n, num, den, block_bytes, cluster, [])
+    linked = rows.filter("node is not null").join(labels, F.col("node") == F.col("_node"))
+    alone = rows.filter("node is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    return linked.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")).union(alone)
+
+
+def representatives(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, block_bytes: int = BLOCK_BYTES, cluster: int = CLUSTER) -> DataFrame:
+    """docs without all but one row of each component: one with the smallest doc_id. doc_id must be a long."""
+    names = docs.columns
+    rows, labels = _joined(docs, n, num, den, block_bytes, cluster, [c for c in names if c != "doc_id"])
+    linked = rows.filter("node is not null").join(labels, F.col("node") == F.col("_node"))
+    # Rows that share the smallest doc_id of a component are few; one stays.
+    first = Window.partitionBy("root").orderBy("text", *[c for c in names if c not in ("doc_id", "text")])
+    best = linked.filter(F.col("doc_id").eqNullSafe(F.col("component"))).withColumn("_rank", F.row_number().over(first)).filter("_rank = 1")
+    return rows.filter("node is null").select(*names).union(best.select(*names))
 
 
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return join(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
+    return join(documents(spark, sf_dir))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from maskwerk.llm import fingerprints, licenses, ngrams, packing, quality, secrets, sentencepieces, sharding, suffixes
+from maskwerk.llm import fingerprints, licenses, ngrams, packing, quality, secrets, sentencepieces, sharding, suffixes, webpages
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_packing": packing.op3_packing,
         "op4_fingerprints": fingerprints.op4_fingerprints,
         "op5_license_scans": licenses.op5_license_scans,
+        "op6_html_extraction": webpages.op6_html_extraction,
         "op7_sentencepiece": sentencepieces.op7_sentencepiece,
         "op8_quality_rules": quality.op8_quality_rules,
         "op9_suffix_dedup": suffixes.op9_suffix_dedup,

@@ -94,9 +94,9 @@ def scan_versions(docs: DataFrame, path: str, kinds: list[str] | None = None, ve
 
 
 def by_blob(findings: DataFrame) -> DataFrame:
-    """A row for each blob with any finding: its spans of all kinds, by start, then kind."""
+    """A row (_blob, _found) for each blob with any finding: its spans of all kinds, by start, then kind."""
     some = findings.filter(F.size("spans") > 0).groupBy("blob").agg(F.flatten(F.collect_list("spans")).alias("spans"))
-    return some.select("blob", F.sort_array("spans").alias("found"))
+    return some.select(F.col("blob").alias("_blob"), F.sort_array("spans").alias("_found"))
 
 
 def listed(found: Column) -> Column:
@@ -105,18 +105,31 @@ def listed(found: Column) -> Column:
     return F.array_join(F.transform(found, lambda x: F.concat_ws(":", names[x["k"]], x["s"].cast("string"), x["e"].cast("string"))), ",")
 
 
-def joined_to_paths(docs: DataFrame, found: DataFrame, path: str = "doc_id") -> DataFrame:
-    """For each row of docs its blob and the spans found in it (empty if none)."""
-    paths = docs.select(F.col(path), blob().alias("blob"))
-    return paths.join(found, "blob", "left").withColumn("found", F.coalesce("found", F.array().cast(f"array<{SPAN}>")))
-
-
-def scanned(docs: DataFrame) -> DataFrame:
-    """docs' doc_id with blob and found, without a ledger kept."""
+def scanned(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """The columns of docs named in keep (doc_id alone by default) with found, the spans in each row's text; no ledger is kept."""
     kinds = list(RULES)
     each = [F.when(F.array_contains("lacking", k), spans(F.col("text"), k)) for k in kinds]
-    found = unseen(docs, None, kinds).select("blob", F.sort_array(F.flatten(F.array_compact(F.array(*each)))).alias("found"))
-    return joined_to_paths(docs, found.filter(F.size("found") > 0))
+    found = unseen(docs, None, kinds).select(F.col("blob").alias("_blob"), F.sort_array(F.flatten(F.array_compact(F.array(*each)))).alias("_found"))
+    return joined_to_paths(docs, found.filter(F.size("_found") > 0), keep or ["doc_id"])
+
+
+def joined_to_paths(docs: DataFrame, found: DataFrame, keep: list[str]) -> DataFrame:
+    """Columns of docs with found (empty if none), from rows (_blob, _found)."""
+    paths = docs.select(*keep, blob().alias("_path_blob"))
+    return paths.join(found, F.col("_path_blob") == F.col("_blob"), "left").select(*keep, F.coalesce("_found", F.array().cast(f"array<{SPAN}>")).alias("found"))
+
+
+def redacted(text: Column, found: Column, mask: str = "[secret]") -> Column:
+    """text with each stretch that spans cover replaced by mask."""
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+
+    def step(a: Column, x: Column) -> Column:
+        between = F.substring(text, a["at"] + 1, x["s"] - a["at"])
+        apart = F.struct(x["e"].alias("at"), F.concat(a["out"], between, F.lit(mask)).alias("out"))
+        return F.when(x["s"] >= a["at"], apart).otherwise(F.struct(F.greatest(a["at"], x["e"]).alias("at"), a["out"].alias("out")))
+
+    whole = F.aggregate(found, start, step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
+    return F.when(F.size(found) == 0, text).otherwise(whole)
 
 
 def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:

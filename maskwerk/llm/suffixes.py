@@ -312,6 +312,7 @@ class Dedup:
         out = {"doc_id": texts.doc_id, **{c: pa.array(rows[c], pa.int64()) for c in ("n_bytes", "n_removed", "n_spans")}, "kept_sha256": pa.array(rows["kept_sha256"], pa.string())}
         if keep is not None:
             out["kept"] = pa.array(rows["kept"], pa.binary())
+            out["kept_text"] = pa.array([x.decode("utf-8", "ignore") for x in rows["kept"]], pa.string())
             out |= {c: texts.table[c] for c in keep}
         return pa.table(out)
 
@@ -330,7 +331,7 @@ def _sample(docs: DataFrame, share: float, length: int) -> np.ndarray:
 
 
 def dedup(docs: DataFrame, length: int = LENGTH, keep: list[str] | None = None, block_bytes: int = BLOCK_BYTES, bucket_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256; with keep also kept (binary) and the columns it names."""
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256; with keep also kept (binary), kept_text (its whole characters) and the columns keep names."""
     sizes = docs.agg(F.sum(text_bytes())).first()
     total = int(sizes[0] or 0)
     blocks, buckets = max(16, -(-total // block_bytes)), max(8, -(-total // bucket_bytes))
@@ -342,7 +343,7 @@ def dedup(docs: DataFrame, length: int = LENGTH, keep: list[str] | None = None,
     texts = B.answer(B.told(dealt, known, steps.ask_texts, B.ASK), steps.answer_texts)
     replies = known.union(texts.withColumn("bucket", F.col("bucket") + F.lit(buckets)))
     full = keep is not None
-    made = T._parse_datatype_string("doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * full)
+    made = T._parse_datatype_string("doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary, kept_text string" * full)
     schema = T.StructType([*made.fields, *[dealt.schema[c] for c in keep or ()]])
     return B.told(dealt, replies, lambda b, t, r: steps.result(b, t, r, keep), schema)
 
