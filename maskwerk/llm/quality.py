@@ -42,6 +42,10 @@ def _without(text: Column, pattern: str) -> Column:
     return F.length(text) - F.length(F.regexp_replace(text, pattern, ""))
 
 
+def _sum(counts: str) -> Column:
+    return F.aggregate(counts, F.lit(0).cast("long"), lambda a, x: a + x)
+
+
 def _counted(docs: DataFrame) -> DataFrame:
     """docs with _text, _words, _n, _classes and _common (counts; null for unknown languages)."""
     common = F.create_map(*[x for lang, words in COMMON.items() for x in (F.lit(lang), F.array(*map(F.lit, words)))])
@@ -52,10 +56,10 @@ def _counted(docs: DataFrame) -> DataFrame:
     out = out.withColumns({"_n": F.size("_words"), "_letters": F.length(F.array_join("_words", "")), "_odd": F.regexp_replace("_text", PLAIN, "")})
     own = [_without(F.col("_odd"), p) for p in CLASSES.values()]
     out = out.withColumn("_classes", F.array(*[c.cast("long") for c in own], (F.col("_chars") - F.col("_letters")).cast("long")))
-    out = out.withColumn("_classes", F.concat("_classes", F.array((F.col("_chars") - sum((F.col("_classes")[i] for i in range(len(CLASSES) + 1)), F.lit(0))).cast("long"))))
-    words = [(F.col("_n") - F.size(F.array_remove("_words", F.col("_list")[i]))).cast("long") for i in range(12)]
-    out = out.withColumn("_common", F.when(F.col("_lang").isNotNull(), F.array(*words)))
-    return out.withColumn("_common", F.concat("_common", F.array((F.col("_n") - sum((F.col("_common")[i] for i in range(12)), F.lit(0))).cast("long"))))
+    out = out.withColumn("_classes", F.concat("_classes", F.array(F.col("_chars") - _sum("_classes"))))
+    # A lambda, not a column for each word: unrolled, the loops make a method that the JVM does not compile.
+    out = out.withColumn("_common", F.transform("_list", lambda w: (F.col("_n") - F.size(F.array_remove(F.col("_words"), w))).cast("long")))
+    return out.withColumn("_common", F.concat("_common", F.array(F.col("_n") - _sum("_common"))))
 
 
 def references(counted: DataFrame) -> DataFrame:
@@ -79,7 +83,7 @@ def distance(counts: Column, shares: Column) -> Column:
     part = lambda x, m: F.when(x > 0, x * F.log2(x / m)).otherwise(0.0)
     terms = F.zip_with(counts, shares, lambda c, q: part(c / total, (c / total + q) / 2) + part(q, (c / total + q) / 2))
     sum_ = F.aggregate(terms, F.lit(0.0), lambda a, x: a + x)
-    return F.when(total > 0, F.sqrt(F.greatest(sum_ / 2, F.lit(0.0))))
+    return F.when((total > 0) & shares.isNotNull(), F.sqrt(F.greatest(sum_ / 2, F.lit(0.0))))
 
 
 def base_rules(counted: DataFrame) -> DataFrame:
