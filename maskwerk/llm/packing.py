@@ -36,10 +36,22 @@ QUEUES = 4096
 #: Documents of one queue that are cut in one go, about.
 RUN = 1000
 #: Words that a worker keeps, about 150 bytes each; beyond that it starts anew.
-KEPT_WORDS = 900_000
+KEPT_WORDS = 1_500_000
 LONGEST_KEPT = 64
 
 
+class Known(dict):
+    """A table in which a missing key gives itself and is noted."""
+
+    def __init__(self):
+        super().__init__()
+        self.missed: dict[str, None] = {}
+
+    def __missing__(self, key: str) -> str:
+        self.missed[key] = None
+        return key
+
+
 class WordTokenizer:
     """Ids by the tokenizers library, word by word.
 
@@ -59,7 +71,7 @@ class WordTokenizer:
             raise ValueError("a vocabulary with a suffix for the ends of words is needed")
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for t, i in vocab.items() if t.endswith(suffix)]] = True
-        self.known: dict[str, bytes] = {}
+        self.known = Known()
 
     def learn(self, new: list[str]) -> None:
         known, width = self.known, self.kind.itemsize
@@ -100,13 +112,15 @@ class WordTokenizer:
         return text.replace("\n", " ").split(" ")
 
     def batch(self, texts: list[str]) -> list[bytes]:
-        split = [self.words(t) for t in texts]
         known = self.known
         if len(known) > KEPT_WORDS:
             known.clear()
-        new = [*{w for words in split for w in words if w not in known}]
+        # One look-up for each word; those not met yet stand for themselves until they are learnt.
+        parts = [list(map(known.__getitem__, self.words(t))) for t in texts]
+        new = [*known.missed]
+        known.missed.clear()
         self.learn(new)
-        out = [b"".join([known[w] for w in words]) for words in split]
+        out = [b"".join([x if type(x) is bytes else known[x] for x in p]) for p in parts]
         for w in new:
             if len(w) > LONGEST_KEPT:
                 del known[w]
