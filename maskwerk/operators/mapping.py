@@ -13,6 +13,7 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from maskwerk.functions import text as X
@@ -104,9 +105,13 @@ def merged(keys: DataFrame, existing: DataFrame | None = None) -> DataFrame:
 
 def numbered(keys: DataFrame, existing: DataFrame | None = None) -> DataFrame:
     """New mappings of keys (first_seen, merged): numbers go on from the largest that exists."""
-    points = keys.agg(F.percentile_approx(F.col("at.doc_id").cast("long"), [i / RANGES for i in range(1, RANGES)], 1000)).first()[0] or []
-    part = F.size(F.filter(F.array(*[F.lit(p).cast("long") for p in sorted(set(points))]) if points else F.array().cast("array<long>"), lambda p: p <= F.col("at.doc_id").cast("long")))
-    keys = keys.withColumn("part", F.coalesce(part, F.lit(-1)))
+    if isinstance(keys.schema["at"].dataType["doc_id"].dataType, T.NumericType):
+        points = keys.agg(F.percentile_approx(F.col("at.doc_id").cast("long"), [i / RANGES for i in range(1, RANGES)], 1000)).first()[0] or []
+        splitters = F.array(*[F.lit(p).cast("long") for p in sorted(set(points))]).cast("array<long>")
+        part = F.coalesce(F.size(F.filter(splitters, lambda p: p <= F.col("at.doc_id").cast("long"))), F.lit(-1))
+    else:  # text ids: their beginnings are in the same order
+        part = F.coalesce(F.substring(F.col("at.doc_id").cast("string"), 1, 64), F.lit(""))
+    keys = keys.withColumn("part", part)
     sums = keys.groupBy("category", "part").agg(F.count("*").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("category").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = sums.select(F.col("category").alias("c_"), F.col("part").alias("p_"), before.alias("before"))
