@@ -3,7 +3,8 @@
 Segments of a document are its lines, its blocks between blank lines, and the whole text. Each is
 normalised (lower case; letters and digits; single spaces) and compared, as a set of word bigrams, with
 every template that its size admits: with threshold t, Dice can reach t only if the smaller set has at
-least t / (2 - t) of the larger one's bigrams. All is DataFrame expressions; templates are literals.
+least t / (2 - t) of the larger one's bigrams. By the same bound every match holds one of a few words, and
+segments without any are passed over. All is DataFrame expressions; templates are literals.
 
 Defined results: a null or empty text has no licence; rows that share a doc_id, null included, are one
 document; a segment that is there twice counts once in a row's text; an empty table gives no rows.
@@ -34,6 +35,8 @@ TEMPLATES = {
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
     "Unlicense": "This is free and unencumbered software released into the public domain.",
 }
+# Words that say little, since most texts hold them.
+FREQUENT = frozenset("a an and any at be but by can for from has in is it no not of on one or that the this to with you".split())
 THRESHOLD = 0.8
 
 
@@ -51,6 +54,23 @@ def bounds(size: int, threshold: float = THRESHOLD) -> tuple[int, int]:
     return max(1, int(size * threshold / (2 - threshold))), int(size * (2 - threshold) / threshold) + 1
 
 
+def needed_words(sets: dict[str, list[str]], threshold: float = THRESHOLD) -> list[str]:
+    """Words of which any segment that reaches the threshold with any of the templates holds one at least.
+
+    Such a segment has threshold / (2 - threshold) of the template's bigrams. Words are taken, longest
+    first among equals, until the bigrams without any of them are fewer than that.
+    """
+    out: set[str] = set()
+    for pairs in sets.values():
+        bare = [p for p in pairs if out.isdisjoint(p.split())]
+        while bare and len(bare) >= threshold / (2 - threshold) * len(pairs) - 1e-9:
+            words = sorted({w for p in bare for w in p.split()})
+            word = max(words, key=lambda w: (w not in FREQUENT, len(w) > 4, sum(w in p.split() for p in bare), len(w)))
+            out.add(word)
+            bare = [p for p in bare if word not in p.split()]
+    return sorted(out)
+
+
 def bigrams(words: Column) -> Column:
     """Distinct bigrams of an array column of words."""
     pairs = F.zip_with(F.slice(words, F.lit(1), F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
@@ -67,7 +87,9 @@ def matches(docs: DataFrame, templates: dict[str, str] | None = None, threshold:
     limits = {k: bounds(len(v), threshold) for k, v in sets.items()}
     least, most = min(a for a, _ in limits.values()), max(b for _, b in limits.values())
     every = F.array(*map(F.lit, sorted({b for v in sets.values() for b in v})))
-    parts = docs.select("doc_id", F.explode(segments(F.coalesce(F.col("text").cast("string"), F.lit("")))).alias("segment"))
+    some = rf"(?:{'|'.join(needed_words(sets, threshold))})(?![\p{{L}}\p{{N}}])"
+    likely = docs.select("doc_id", F.col("text").cast("string").alias("text")).filter(F.lower("text").rlike(some))
+    parts = likely.select("doc_id", F.explode(segments(F.col("text"))).alias("segment")).filter(F.lower("segment").rlike(some))
     plain = F.trim(F.regexp_replace(F.lower("segment"), r"[^\p{L}\p{N}]+", " "))
     parts = parts.withColumn("_plain", plain).filter(F.col("_plain").contains(" ")).withColumn("_words", F.split("_plain", " "))
     # A long text may have few distinct bigrams, so that only a lower bound holds for its words.
