@@ -45,7 +45,7 @@ CLUSTER = 40_000
 #: Postings that a task sums up at once.
 POSTINGS = 2_000_000
 #: Rows of a block in the product, and overlaps that it accumulates at once.
-ROWS, CELLS = 64, 4_000_000
+ROWS, CELLS = 64, 2_000_000
 
 
 class Sets:
@@ -221,8 +221,8 @@ class Join:
         m = len(nodes)
         tokens, which, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
         doc = np.repeat(np.arange(m), [len(s) for s in sets])
-        some = count[which] > 1  # others cannot add to an overlap
-        which, doc = which[some], doc[some]
+        common = count[which] > 1  # others cannot add to an overlap
+        which, doc = which[common], doc[common]
         rows = np.searchsorted(doc, np.arange(m + 1))
         free = np.ones(m, bool)
         out: list[tuple[int, int]] = []
@@ -250,10 +250,16 @@ class Join:
                     own = np.concatenate([which[rows[i] : rows[i + 1]] for i in part])
                     row = np.repeat(np.arange(len(part)), [rows[i + 1] - rows[i] for i in part])
                     lengths = starts[own + 1] - starts[own]
-                    ends = np.cumsum(lengths)
-                    place = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - lengths - starts[own], lengths)
-                    cells = np.repeat(row, lengths) * len(live) + column[place]
-                    overlap = np.bincount(cells, minlength=len(part) * len(live)).reshape(len(part), len(live))
+                    overlap = np.zeros(len(part) * len(live), np.int64)
+                    ends, done = np.cumsum(lengths), 0
+                    while done < len(own):  # so many n-grams at once that their postings fit
+                        upto = max(done + 1, int(np.searchsorted(ends, (ends[done - 1] if done else 0) + CELLS, "right")))
+                        some = slice(done, upto)
+                        last = np.cumsum(lengths[some])
+                        place = np.arange(last[-1]) - np.repeat(last - lengths[some] - starts[own[some]], lengths[some])
+                        overlap += np.bincount(np.repeat(row[some], lengths[some]) * len(live) + column[place], minlength=len(overlap))
+                        done = upto
+                    overlap = overlap.reshape(len(part), len(live))
                     enough = (self.den + self.num) * overlap >= self.num * (sizes[part][:, None] + sizes[live][None, :])
                     enough &= free[live][None, :]
                     for r, c in zip(*np.nonzero(enough), strict=True):

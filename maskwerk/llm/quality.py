@@ -128,4 +128,4 @@ def judged(docs: DataFrame, keep_text: bool = True) -> DataFrame:
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judged(documents(spark, sf_dir).select("doc_id", "text", "lang"), keep_text=False).drop("lang")
+    return judged(documents(spark, sf_dir).select("doc_id", "text", "lang"), keep_text=False).drop("lang", "class_distance", "word_distance")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from maskwerk.llm import fingerprints, licenses, ngrams, packing, quality, secrets, sentencepieces, sharding, suffixes, webpages
+from maskwerk.llm import fingerprints, licenses, ngrams, oracles, packing, quality, secrets, sentencepieces, sharding, suffixes, webpages
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -24,8 +24,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
-def oracle_sql() -> dict[str, str]:
-    return {
-        "op4_fingerprints": fingerprints.ORACLE_SQL,
-        "op5_license_scans": licenses.oracle_sql(),
-    }
+oracle_sql = oracles.oracle_sql
