@@ -133,3 +133,25 @@ def formula_texts(formula: Column, change) -> Column:
 
     pairs = F.zip_with(gaps, F.transform(texts, changed), lambda g, t: F.concat(g, F.coalesce(t, F.lit(""))))
     return F.array_join(pairs, "")
+
+
+def word_sequences(words: Column, wanted: Column) -> Column:
+    """Places (from 0) at which an array of words holds another array of words in a row."""
+    n = F.size(wanted)
+    return F.filter(F.sequence(F.lit(0), F.greatest(F.size(words) - n, F.lit(0))), lambda i: (n > 0) & (F.slice(words, i + 1, n) == wanted))
+
+
+def reading_variants(text: Column) -> Column:
+    """A text, and forms of it without what text recognition tends to get wrong: ß, glued digits and words, glued legal forms."""
+    sharp = F.regexp_replace(text, r"(?<=[a-zäöü])B(?=[a-zäöü\s]|$)", "ß")
+    split = F.regexp_replace(F.regexp_replace(text, r"(?<=\p{L})(?=\d)", " "), r"(?<=\d)(?=\p{L})", " ")
+    forms = F.regexp_replace(text, r"(?<=\p{Ll})(?=(?:GmbH|KG|AG|OG|OHG)(?![\p{L}\p{N}]))", " ")
+    camel = F.regexp_replace(text, r"(?<=\p{Ll})(?=\p{Lu})", " ")
+    return F.array_distinct(F.array(text, sharp, split, forms, camel))
+
+
+def keywords(title: Column, stop: list[str], least: int = 4, stem: int = 5) -> Column:
+    """Stems of a title's words, without stop words and short ones, in order, once each."""
+    words = F.split(F.lower(title), r"(?U)[^\w]+")
+    kept = F.filter(words, lambda w: (F.length(w) >= least) & ~F.array_contains(F.array(*map(F.lit, stop)) if stop else F.array().cast("array<string>"), w))
+    return F.array_distinct(F.transform(kept, lambda w: F.substring(w, 1, stem)))

@@ -80,3 +80,13 @@ def test_folder_stream(spark, tmp_path):
     (inbox / "b.txt").write_text("c@x.at und a@x.at")
     assert run() == ["<EMAIL_002> und <EMAIL_001>", "Schreiben an <EMAIL_001>"]
     assert spark.read.parquet(str(tmp_path / "bad")).count() == 0 and store.load().filter(F.col("category") == "EMAIL").count() == 2
+
+
+def test_excel_is_rewritten(spark, tmp_path):
+    new = files.rewritten_excel(excel_file(), lambda t: t.replace("a@x.at", "<EMAIL_001>").replace("x", "X").replace("zwei", "drei"))
+    cells = {(r[1], r[2]): r[4] for r in files.excel_cells(new)}
+    assert cells[1, 1] == "<EMAIL_001>" and cells[2, 27] == "drei Teile" and cells[3, 3] == 'SUMIF(A1,"X",B1)' and cells[1, 2] == "12.5"
+    (tmp_path / "n.xlsx").write_bytes(new)
+    (tmp_path / "n.txt").write_bytes("süß".encode("cp1252"))
+    got = {r["doc_id"].rsplit(".", 1)[1]: r["text"] for r in files.gate_texts(spark, str(tmp_path)).collect()}
+    assert "EMAIL_001" in got["xlsx"] and got["txt"] == "süß"

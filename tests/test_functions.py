@@ -97,3 +97,12 @@ def test_small_formats(spark):
         X.formula_texts(F.lit('=A1&"x""y"&B2&"z"'), F.upper), X.file_stem(F.lit('a/b: "c"*')), X.slug(F.lit("Kanzlei Müller & Co")),
     ).first()
     assert tuple(r) == (hmac.new(key, "wörd".encode(), hashlib.sha256).hexdigest(), '{"A":1,"B":2}', "9x C, 2x A, 2x B", '=A1&"X""Y"&B2&"Z"', "a b c", "Kanzlei_M_ller_Co")
+
+
+def test_words_and_variants(spark):
+    r = spark.range(1).select(
+        X.word_sequences(F.split(F.lit("a b a b c"), " "), F.split(F.lit("a b"), " ")), X.word_sequences(F.split(F.lit("a"), " "), F.split(F.lit("a b"), " ")),
+        X.reading_variants(F.lit("HauptstraBe12 HuberGmbH")), X.keywords(F.lit("Die Bewertung der Bewertungen von Netz und Netzwerk"), ["netz"]),
+    ).first()
+    assert r[0] == [0, 2] and r[1] == [] and r[3] == ["bewer", "netzw"]
+    assert {"Hauptstraße12 HuberGmbH", "HauptstraBe 12 HuberGmbH", "HauptstraBe12 Huber GmbH"} <= set(r[2])
