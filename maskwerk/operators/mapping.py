@@ -18,6 +18,7 @@ from pyspark.sql.window import Window
 
 from maskwerk.functions import text as X
 from maskwerk.operators import spans as S
+from maskwerk.operators.graph import components
 from maskwerk.operators.recognizers import Recognizer, detect
 from maskwerk.plans.tables import written
 
@@ -45,7 +46,7 @@ def first_seen(rows: DataFrame) -> DataFrame:
 
 
 def _greedy(group: pd.DataFrame) -> pd.DataFrame:
-    """Each key of a block, in order, joins the first accepted key that it may merge with, or is accepted.
+    """Each key of a component, in order, joins the first accepted key that it may merge with, or is accepted.
 
     Accepted keys are looked up by their letters and by what is left of their core without any one letter:
     two cores within one edit have one of these in common.
@@ -88,8 +89,9 @@ def _within_one(a: str, b: str) -> bool:
 def merged(keys: DataFrame, existing: DataFrame | None = None) -> DataFrame:
     """category, normal, into: which key each new key counts as.
 
-    Keys of other categories count as themselves. Companies are merged in blocks of the same legal form:
-    greedy, in order of appearance, not transitive, so that a block of distinct names is one task's fold.
+    Keys of other categories count as themselves. Companies that may merge have the same legal form and a
+    variant in common: their letters, their core, or it without one letter. Components over these are each
+    folded in order of appearance, greedily and not transitively, as one client's table would grow.
     """
     form = X.legal_form(F.col("normal"))
     some = keys.select("category", "normal", F.lit(False).alias("old"), F.col("at.doc_id").alias("d"), F.col("at.seg_no").alias("s"), F.col("at.back").alias("b"))
@@ -98,7 +100,20 @@ def merged(keys: DataFrame, existing: DataFrame | None = None) -> DataFrame:
         some = some.union(existing.select("category", "normal", F.lit(True), order, F.lit(0).cast(some.schema["s"].dataType), F.lit(0)))
     fuzzy = some.filter(F.col("category").isin(*X.FUZZY_CATEGORIES)).withColumn("form", F.coalesce(form, F.lit("")))
     fuzzy = fuzzy.withColumn("core", X.core_name(F.col("normal"), F.when(F.col("form") != "", F.col("form")))).withColumn("letters", X.letters_only(F.col("core")))
-    out = fuzzy.groupBy("category", "form").applyInPandas(_greedy, "category string, normal string, into string")
+    fuzzy = written(fuzzy.withColumn("node", F.xxhash64("category", "normal")), "companies")
+    cut = F.transform(F.sequence(F.lit(1), F.length("core")), lambda i: F.concat(F.lit("C"), F.substring(F.col("core"), F.lit(1), i - 1), F.substring(F.col("core"), i + 1, F.length("core"))))
+    near = F.when(F.length("core") >= X.FUZZY_LEAST - 1, F.concat(F.array(F.concat(F.lit("C"), "core")), cut)).otherwise(F.array().cast("array<string>"))
+    rows = fuzzy.select("node", "category", "form", F.explode(F.array_distinct(F.concat(F.array(F.concat(F.lit("L"), "letters")), near))).alias("variant"))
+    least = rows.groupBy(F.col("category").alias("c_"), F.col("form").alias("f_"), F.col("variant").alias("v_")).agg(F.min("node").alias("least"))
+    same = (F.col("category") == F.col("c_")) & (F.col("form") == F.col("f_")) & (F.col("variant") == F.col("v_"))
+    edges = rows.join(least, same).filter("node != least").select(F.col("node").alias("u"), F.col("least").alias("v")).distinct()
+    if edges.isEmpty():
+        out = fuzzy.select("category", "normal", F.col("normal").alias("into"))
+    else:
+        parts = components(edges).select(F.col("node").alias("n_"), "root")
+        linked = fuzzy.join(parts, F.col("node") == F.col("n_"), "left")
+        alone = linked.filter("root is null").select("category", "normal", F.col("normal").alias("into"))
+        out = linked.filter("root is not null").groupBy("root").applyInPandas(_greedy, "category string, normal string, into string").union(alone)
     plain = some.filter(~F.col("category").isin(*X.FUZZY_CATEGORIES)).select("category", "normal", F.col("normal").alias("into"))
     return out.union(plain).distinct()
 
