@@ -43,9 +43,9 @@ CHUNK = 1 << 20
 #: Classes that one task compares with each other.
 CLUSTER = 40_000
 #: Postings that a task sums up at once.
-POSTINGS = 2_000_000
+POSTINGS = 400_000
 #: Rows of a block in the product, and overlaps that it accumulates at once.
-ROWS, CELLS = 64, 2_000_000
+ROWS, CELLS = 64, 500_000
 
 
 class Sets:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -18,22 +17,18 @@ def overlap_share(a_start: Column, a_end: Column, b_start: Column, b_end: Column
     return both / ((a_end - a_start) + (b_end - b_start) - both)
 
 
-def _greedy(group: pd.DataFrame) -> pd.DataFrame:
-    """Each expected span, in order, takes the free found span of highest share; of equal ones the later."""
-    taken: set[int] = set()
-    expected = group[["doc_id", "category", "n_expected", "n_found"]].iloc[:1]
-    hits = 0
-    pairs = group.dropna(subset=["e", "f"]).sort_values(["e", "f"])
-    for _, part in pairs.groupby("e", sort=True):
-        best, at = THRESHOLD, None
-        for f, share in zip(part["f"], part["share"], strict=True):
-            if f not in taken and share >= best:
-                best, at = share, f
-        if at is not None:
-            taken.add(at)
-            hits += 1
-    row = expected.iloc[0]
-    return pd.DataFrame({"doc_id": [row["doc_id"]], "category": [row["category"]], "tp": [hits], "fp": [int(row["n_found"]) - hits], "fn": [int(row["n_expected"]) - hits]})
+def _greedy(pairs: Column) -> Column:
+    """How many expected spans get a partner: each, in order, takes the free found span of highest share; of equal ones the later.
+
+    pairs: array of (e, choices), choices an array of (share, f).
+    """
+    start = F.struct(F.array().cast("array<int>").alias("taken"), F.lit(0).cast("long").alias("n"))
+
+    def step(a: Column, x: Column) -> Column:
+        best = F.array_max(F.filter(x["choices"], lambda c: ~F.array_contains(a["taken"], c["f"])))
+        return F.when(best.isNull(), a).otherwise(F.struct(F.concat(a["taken"], F.array(best["f"])).alias("taken"), (a["n"] + 1).alias("n")))
+
+    return F.aggregate(F.array_sort(pairs), start, step, lambda a: a["n"])
 
 
 def matched(expected: DataFrame, found: DataFrame) -> DataFrame:
@@ -50,7 +45,10 @@ def matched(expected: DataFrame, found: DataFrame) -> DataFrame:
     same = (F.col("a.doc_id") == F.col("b.doc_id")) & (F.col("a.category") == F.col("b.category")) & (F.col("a.start") < F.col("b.end")) & (F.col("a.end") > F.col("b.start"))
     share = overlap_share(F.col("a.start"), F.col("a.end"), F.col("b.start"), F.col("b.end"))
     pairs = a.join(b, same).select(F.col("a.doc_id").alias("doc_id"), F.col("a.category").alias("category"), "e", "f", share.alias("share")).filter(F.col("share") >= THRESHOLD)
-    return sizes.join(pairs, ["doc_id", "category"], "left").groupBy("doc_id", "category").applyInPandas(_greedy, "doc_id long, category string, tp long, fp long, fn long")
+    by_expected = pairs.groupBy("doc_id", "category", "e").agg(F.collect_list(F.struct("share", "f")).alias("choices"))
+    hits = by_expected.groupBy("doc_id", "category").agg(_greedy(F.collect_list(F.struct("e", "choices"))).alias("tp"))
+    out = sizes.join(hits, ["doc_id", "category"], "left").withColumn("tp", F.coalesce("tp", F.lit(0).cast("long")))
+    return out.select("doc_id", "category", "tp", (F.col("n_found") - F.col("tp")).alias("fp"), (F.col("n_expected") - F.col("tp")).alias("fn"))
 
 
 def ratios(counts: DataFrame) -> DataFrame:
