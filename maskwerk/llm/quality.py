@@ -112,19 +112,27 @@ def base_rules(counted: DataFrame) -> DataFrame:
 def judged(docs: DataFrame, keep_text: bool = True) -> DataFrame:
     """docs with the base rules' columns, class_distance, word_distance and kept; without text unless keep_text.
 
-    Texts are read once: what is counted in them is written with docs' columns, and the references and
-    verdicts are made from that. The references have a row for each language of COMMON at most, so that
-    they may be broadcast.
+    What is counted in the texts is written, without them, and the references are made from that. Verdicts
+    come from the same table, or, where texts have to go with them, from a second reading: a table with texts
+    would need the disk of one more copy. The references have a row for each language of COMMON at most, so
+    that they may be broadcast.
     """
     made = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "class_distance", "word_distance", "kept")
     given = [c for c in docs.columns if c not in made and (keep_text or c != "text")]
-    counted = base_rules(_counted(docs.drop(*made))).select(*given, *made[:6], "_lang", "_classes", "_common")
-    counted = written(counted, "counted")
-    out = counted.join(F.broadcast(references(counted)), F.col("_lang") == F.col("_ref"), "left")
+    counts = _counted(docs.drop(*made))
+    if keep_text:
+        refs = references(written(counts.select("_lang", "_classes", "_common"), "counted"))
+        counted = base_rules(counts).select(*given, *made[:6], "_lang", "_classes", "_common")
+    else:
+        counted = written(base_rules(counts).select(*given, *made[:6], "_lang", "_classes", "_common"), "counted")
+        refs = references(counted)
+    out = counted.join(F.broadcast(refs), F.col("_lang") == F.col("_ref"), "left")
     out = out.withColumns({"class_distance": distance(F.col("_classes"), F.col("ref_classes")), "word_distance": distance(F.col("_common"), F.col("ref_common"))})
     far = (F.col("class_distance") > MOST_CLASSES) | (F.col("word_distance") > MOST_COMMON + NOISE / F.sqrt(F.col("n_words")))
-    out = out.withColumn("kept", ~F.col("base_failed") & ~F.coalesce((F.col("n_words") >= GUARD_WORDS) & far, F.lit(False)))
-    return out.select(*given, *made)
+    kept = ~F.col("base_failed") & ~F.coalesce((F.col("n_words") >= GUARD_WORDS) & far, F.lit(False))
+    # Always true, but no function of the row: so a filter on kept stays above what it is made from, which
+    # would otherwise be put into the filter whole and evaluated again for each use.
+    return out.withColumn("kept", kept & (F.monotonically_increasing_id() >= 0)).select(*given, *made)
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -48,6 +48,13 @@ def test_divergence(spark):
     assert out[101]["class_distance"] is None and out[100]["class_distance"] > out[0]["class_distance"]
 
 
+def test_filter_on_long_texts_is_linear(spark):
+    """A filter on the verdict must not be pushed into what it is made from."""
+    text = " ".join(f"w{i}" if i % 3 else "the" for i in range(30_000))
+    given = spark.createDataFrame([(1, text, "en"), (2, text + " end", "en")], "doc_id long, text string, lang string")
+    assert quality.judged(given).filter("kept").count() == 2
+
+
 def test_distance(spark):
     given = spark.createDataFrame([([1, 1], [0.5, 0.5]), ([4, 0], [0.0, 1.0]), ([0, 0], [0.5, 0.5])], "a array<long>, b array<double>")
     assert [r[0] for r in given.select(quality.distance(F.col("a"), F.col("b"))).collect()] == [0.0, 1.0, None]
