@@ -2,57 +2,73 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import threading
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from maskwerk.plans.tables import checkpointed, shared_dir, written
+
+__all__ = ["BLOCK_BYTES", "Known", "Resting", "WHITE", "checkpointed", "documents", "shared_dir", "text_bytes", "written"]
+
 #: Words of the contracts: runs without ASCII white space.
 WHITE = r"[\x20\x09-\x0D]+"
 #: UTF-8 bytes of text that one block of documents holds on average.
 BLOCK_BYTES = 8 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir).
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
-    Where the session names none (tests on one machine), a temporary folder is set.
-    """
-    sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not named:
-        named = tempfile.mkdtemp(prefix="maskwerk-")
-        sc.setCheckpointDir(named)
-    elif sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(named)
-    return named
 
+def text_bytes(text: str | Column = "text") -> Column:
+    """UTF-8 bytes of a text; a null text has none."""
+    return F.coalesce(F.octet_length(text), F.lit(0)).cast("long")
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df with its lineage cut by files in the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
 
+class Known(dict):
+    """A table in which a missing key gives itself and is noted. What the generation before had is taken over when met again."""
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder (columnar and compressed, unlike a checkpoint)."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    def __init__(self, before: dict | None = None):
+        super().__init__()
+        self.missed: dict[str, None] = {}
+        self.before = before if before is not None else {}
 
+    def __missing__(self, key: str):
+        if (value := self.before.get(key)) is not None:
+            self[key] = value
+            return value
+        self.missed[key] = None
+        return key
 
-def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    def renewed(self, most: int) -> Known:
+        """This table, or once it has over `most` entries, an empty one with this as the generation before."""
+        if len(self) <= most:
+            return self
+        return Known(dict(self))
 
 
-def text_bytes(text: str | Column = "text") -> Column:
-    """UTF-8 bytes of a text; a null text has none."""
-    return F.coalesce(F.octet_length(text), F.lit(0)).cast("long")
+class Resting:
+    """What a Python worker keeps from batch to batch, and forgets when it has been idle for a while.
+
+    Workers outlive their stage; without that their tables would take the executor's memory from later ones.
+    """
+
+    IDLE_S = 2.0
+
+    def __init__(self) -> None:
+        self.known = Known()
+        self._timer: threading.Timer | None = None
+
+    def wake(self) -> None:
+        if self._timer:
+            self._timer.cancel()
 
+    def rest(self) -> None:
+        self.wake()
+        self._timer = threading.Timer(self.IDLE_S, self.forget)
+        self._timer.daemon = True
+        self._timer.start()
 
-def block_count(docs: DataFrame, block_bytes: int = BLOCK_BYTES, least: int = 16) -> int:
-    """Blocks of block_bytes of text on average, from the size of all texts."""
-    total = docs.agg(F.sum(text_bytes()).alias("b")).first()["b"] or 0
-    return max(least, -(-int(total) // block_bytes))
+    def forget(self) -> None:
+        self.known = Known()

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 from tokenizers import Tokenizer
 
-from maskwerk.llm.common import documents, written
+from maskwerk.llm.common import Resting, documents, written
 
 LENGTH = 2048
 #: Sequences in a window.
@@ -35,24 +35,12 @@ END_ID = 1
 QUEUES = 4096
 #: Documents of one queue that are cut in one go, about.
 RUN = 1000
-#: Words that a worker keeps, about 150 bytes each; beyond that it starts anew.
-KEPT_WORDS = 1_500_000
+#: Words of each of two generations that a worker keeps, about 150 bytes each.
+KEPT_WORDS = 750_000
 LONGEST_KEPT = 64
 
 
-class Known(dict):
-    """A table in which a missing key gives itself and is noted."""
-
-    def __init__(self):
-        super().__init__()
-        self.missed: dict[str, None] = {}
-
-    def __missing__(self, key: str) -> str:
-        self.missed[key] = None
-        return key
-
-
-class WordTokenizer:
+class WordTokenizer(Resting):
     """Ids by the tokenizers library, word by word.
 
     The pre-tokenizer ends every match at white space and no normalizer joins across it, so words between
@@ -62,6 +50,7 @@ class WordTokenizer:
     """
 
     def __init__(self, path: str):
+        super().__init__()
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
         vocab = self.library.get_vocab()
@@ -71,7 +60,6 @@ class WordTokenizer:
             raise ValueError("a vocabulary with a suffix for the ends of words is needed")
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for t, i in vocab.items() if t.endswith(suffix)]] = True
-        self.known = Known()
 
     def learn(self, new: list[str]) -> None:
         known, width = self.known, self.kind.itemsize
@@ -112,9 +100,7 @@ class WordTokenizer:
         return text.replace("\n", " ").split(" ")
 
     def batch(self, texts: list[str]) -> list[bytes]:
-        known = self.known
-        if len(known) > KEPT_WORDS:
-            known.clear()
+        known = self.known = self.known.renewed(KEPT_WORDS)
         # One look-up for each word; those not met yet stand for themselves until they are learnt.
         parts = [list(map(known.__getitem__, self.words(t))) for t in texts]
         new = [*known.missed]
@@ -144,6 +130,7 @@ def tokenize(docs: DataFrame, tokenizer: str) -> DataFrame:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         words = loaded(tokenizer)
+        words.wake()
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
@@ -153,6 +140,7 @@ def tokenize(docs: DataFrame, tokenizer: str) -> DataFrame:
                     "n_tokens": pa.array([len(x) // words.kind.itemsize for x in ids], pa.int64()),
                     "ids": pa.array(ids, pa.binary()),
                 })
+        words.rest()
 
     return docs.selectExpr("cast(doc_id as long) as doc_id", "cast(source as string) as source", "text").mapInArrow(run, "doc_id long, source string, n_tokens long, ids binary")
 

@@ -23,20 +23,21 @@ import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 
-from maskwerk.llm.common import documents
+from maskwerk.llm.common import Resting, documents
 
 SPACE = "▁"
 #: Segments: space signs and what follows them up to the next one, or a part of a line without, or line feeds.
 SEGMENT = re.compile(f"{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+|\n+")
-#: Segments and atoms that a worker keeps, about 180 bytes each; beyond that it starts anew.
-KEPT = 1_200_000
+#: Segments and atoms of each of two generations that a worker keeps, about 180 bytes each.
+KEPT = 600_000
 LONGEST_KEPT = 64
 
 
-class AgendaBPE:
+class AgendaBPE(Resting):
     """Encoder and decoder over the pieces of a sentencepiece model file of merge type."""
 
     def __init__(self, path: str):
+        super().__init__()
         self.library = lib = sentencepiece.SentencePieceProcessor(model_file=path)
         n = lib.get_piece_size()
         self.pieces = [lib.id_to_piece(i) for i in range(n)]
@@ -50,7 +51,6 @@ class AgendaBPE:
         if any(SPACE in p.lstrip(SPACE) or "\n" in p for p in self.scores):
             raise ValueError("pieces cross words or lines; segments would not merge independently")
         self.pairs = {p[i : i + 2] for p in self.scores for i in range(len(p) - 1)}
-        self.known: dict[str, bytes] = {}
         #: What segments decode to, where it is not their own text.
         self.other: dict[str, str] = {}
 
@@ -115,7 +115,11 @@ class AgendaBPE:
         """Encodes and decodes new segments; their new atoms are held against the library."""
         known = self.known
         cut = {s: self.atoms(s) for s in segments}
-        new = [*{a for x in cut.values() for a in x if a not in known}]
+        for x in cut.values():
+            for a in x:
+                known[a]  # noqa: B018 - notes what is missing
+        new = [*known.missed]
+        known.missed.clear()
         for a in new:
             known[a] = array("I", self.merge(a)).tobytes()
             if (back := self.unpiece(array("I", known[a]).tolist())) != a:
@@ -138,22 +142,22 @@ class AgendaBPE:
 
     def batch(self, texts: list[str]) -> Iterator[tuple[bytes, str]]:
         """Ids (little-endian, 4 bytes each, with begin and end) and decoded text of each text."""
-        begin, end, known = array("I", [self.begin]).tobytes(), array("I", [self.end]).tobytes(), self.known
+        begin, end = array("I", [self.begin]).tobytes(), array("I", [self.end]).tobytes()
+        known = self.known = self.known.renewed(KEPT)
         split = [self.segments(t) for t in texts]
-        if len(known) > KEPT:
-            known.clear()
-            self.other.clear()
-        new = [*{s for parts in split for s in parts if s not in known}]
+        # One look-up for each segment; those not met yet stand for themselves until they are learnt.
+        met = [list(map(known.__getitem__, parts)) for parts in split]
+        new = [*known.missed]
+        known.missed.clear()
         self.learn(new)
         for k, (text, parts) in enumerate(zip(texts, split, strict=True)):
-            ids = begin + b"".join([known[s] for s in parts]) + end
+            ids = begin + b"".join([x if type(x) is bytes else known[x] for x in met[k]]) + end
             back = "".join([self.other.get(s, s) for s in parts] if self.other else parts)[1:].replace(SPACE, " ")
             if not k and (array("I", ids).tolist() != self.library.encode(text, add_bos=True, add_eos=True) or back != self.library.decode(array("I", ids).tolist())):
                 raise ValueError("the agenda and the library differ on a document")
             yield ids, back
-        for s in new:
-            if len(s) > LONGEST_KEPT:
-                del known[s]
+        for s in [s for s in new if len(s) > LONGEST_KEPT]:
+            known.pop(s, None)
 
 
 _loaded: dict[str, AgendaBPE] = {}
@@ -170,6 +174,7 @@ def encode(docs: DataFrame, model: str, full: bool = True) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = loaded(model)
+        coder.wake()
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
@@ -185,6 +190,7 @@ def encode(docs: DataFrame, model: str, full: bool = True) -> DataFrame:
                 if full:
                     out |= {"ids": pa.array(rows["ids"], pa.list_(pa.int32())), "decoded": pa.array(rows["decoded"], pa.string())}
                 yield pa.RecordBatch.from_pydict(out)
+        coder.rest()
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * full
     return docs.selectExpr("cast(doc_id as long) as doc_id", "text").mapInArrow(run, schema)
