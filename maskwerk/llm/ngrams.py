@@ -35,7 +35,7 @@ from pyspark.sql.window import Window
 
 from maskwerk.llm import blocks as B
 from maskwerk.llm.common import BLOCK_BYTES, documents, text_bytes, written
-from maskwerk.llm.graph import components, forest
+from maskwerk.operators.graph import components, forest
 
 U64 = np.uint64
 #: Bytes that are hashed at once.

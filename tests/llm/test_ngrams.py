@@ -7,7 +7,8 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from maskwerk.llm import graph, ngrams
+from maskwerk.llm import ngrams
+from maskwerk.operators import graph
 
 SPACE = re.compile(r"[^\x20\x09-\x0D]+")
 
