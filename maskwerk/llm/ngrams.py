@@ -5,13 +5,13 @@ gives each document its component.
 
 1. Blocks of documents ask which of their n-grams another document has (blocks.py). A document with too
    few of those for the threshold by its size links with nothing and is done.
-2. The others are reduced to classes of equal sets. Of each class the lowest n-grams, as many as the
+2. The others are reduced to classes of equal sets. Of each class the rarest n-grams, as many as the
    size-derived bound asks for, are its prefix: linked classes share one. Classes with a common prefix
    n-gram come into one cluster. Postings are summed up within each task before they are shuffled.
 3. In a cluster rows of the incidence matrix are multiplied, block by block, with the columns that are
    not in a component yet: overlaps are accumulated, pairs below the bound of their sizes discarded, and
    what links leaves the columns. A group of near copies thus costs about one product with its first
-   members, not one with all. Clusters of over CLUSTER classes are dealt into blocks, and each pair of
+   members, not one with all. Clusters of over CLUSTER n-grams are dealt into blocks, and each pair of
    blocks is a task.
 4. Components over the links found are labelled with their smallest doc_id.
 
@@ -40,8 +40,8 @@ from maskwerk.operators.graph import components, forest
 U64 = np.uint64
 #: Bytes that are hashed at once.
 CHUNK = 1 << 20
-#: Classes that one task compares with each other.
-CLUSTER = 40_000
+#: N-grams, over all classes, of a block of a cluster; a task compares one block or two.
+CLUSTER = 2_500_000
 #: Postings that a task sums up at once.
 POSTINGS = 400_000
 #: Rows of a block in the product, and overlaps that it accumulates at once.
@@ -134,30 +134,31 @@ class Join:
 
     @staticmethod
     def answer(table: pa.Table) -> list[bytes]:
-        """Bits: whether another document has the n-gram."""
+        """For each n-gram, a byte: how many blocks have it (one more if a block has it twice), up to 255."""
         keys, edges = B.joined(table["keys"], np.uint32)
         order = np.argsort(keys, kind="stable")
         bare = keys[order] >> 1
-        same = np.zeros(len(keys) + 1, bool)
-        same[1:-1] = bare[1:] == bare[:-1]
-        out = np.empty(len(keys), bool)
-        out[order] = same[1:] | same[:-1] | (keys[order] & 1 == 1)
-        return [np.packbits(out[a:b]).tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)]
+        at = np.flatnonzero(np.append(True, bare[1:] != bare[:-1])[: len(keys)])
+        sizes = np.diff(np.append(at, len(keys)))
+        count = np.minimum(sizes + np.maximum.reduceat((keys[order] & 1).astype(np.int64), at), 255) if len(keys) else sizes
+        out = np.empty(len(keys), np.uint8)
+        out[order] = np.repeat(count, sizes)
+        return [out[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)]
 
     def survivors(self, block: int, table: pa.Table, replies: pa.Table, keep: list[str]) -> pa.Table:
         """A row for each document; node and tokens (those that others have) only where it may link."""
         texts = B.Texts(table)
         sets = Sets(texts, self.n)
         tokens, which, _, bucket = self.distinct(sets)
-        order, edges = B.packed(bucket, self.buckets)
-        shared = np.zeros(len(tokens), bool)
-        for b, raw in zip(replies["bucket"].to_pylist(), replies["answer"].to_pylist(), strict=True):
-            at = order[edges[b] : edges[b + 1]]
-            shared[at] = np.unpackbits(np.frombuffer(raw, np.uint8), count=len(at)).astype(bool)
-        some = shared[which]
+        held = B.unpacked(replies, bucket, self.buckets, np.uint8)[which] if len(tokens) else np.zeros(0, np.uint8)
+        some = held > 1
         may = (self.den * sets.sum_of(some.astype(np.int64)) >= self.num * sets.sizes) & (sets.sizes > 0)
         keys = sets.keys().view(np.int64)
-        kept = [sets.tokens[a:b][some[a:b]].tobytes() if m else None for a, b, m in zip(sets.begin[:-1], sets.begin[1:], may, strict=True)]
+        kept: list[bytes | None] = []
+        for a, b, m in zip(sets.begin[:-1], sets.begin[1:], may, strict=True):
+            own, n = sets.tokens[a:b][some[a:b]], held[a:b][some[a:b]]
+            # Rare ones first, the same order everywhere: so that prefixes hold what few documents share.
+            kept.append(own[np.lexsort((own, n))].tobytes() if m else None)
         out = {"doc_id": texts.doc_id, "n_shingles": pa.array(sets.sizes), "node": pa.array(keys, mask=~may), "tokens": pa.array(kept, pa.binary())}
         return pa.table(out | {c: texts.table[c] for c in keep})
 
@@ -297,7 +298,8 @@ def _joined(docs: DataFrame, n: int, num: int, den: int, block_bytes: int, clust
     classes = written(classes, "classes")
     posted = classes.select("node", "n_shingles", "tokens").mapInArrow(steps.postings, "bucket int, tokens binary, nodes binary, u binary, v binary")
     clusters = components(posted.groupBy("bucket").applyInArrow(steps.edges, "u long, v long"))
-    sizes = clusters.groupBy("root").agg(F.count("*").alias("size"))
+    weights = classes.select(F.col("node").alias("w_"), (F.octet_length("tokens") / 8).alias("weight"))
+    sizes = clusters.join(weights, F.col("node") == F.col("w_")).groupBy("root").agg(F.sum("weight").alias("size"))
     placed = clusters.join(sizes, "root").select("node", F.col("root").alias("cluster"), F.ceil(F.col("size") / cluster).cast("int").alias("parts"))
     wide = classes.join(placed, "node").select("node", "n_shingles", "tokens", "cluster", "parts")
     own = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")

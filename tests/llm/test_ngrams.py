@@ -72,7 +72,7 @@ def family(seed, copies=60):
 def test_families(spark, seed):
     rows = family(seed)
     check(spark, rows)
-    check(spark, rows, n=2, num=60, cluster=5)
+    check(spark, rows, n=2, num=60, cluster=300)
 
 
 def test_clusters_in_memory():
