@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import threading
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,25 +29,19 @@ def text_bytes(text: str | Column = "text") -> Column:
 
 
 class Known(dict):
-    """A table in which a missing key gives itself and is noted. What the generation before had is taken over when met again."""
+    """A table in which a missing key gives itself and is noted."""
 
-    def __init__(self, before: dict | None = None):
+    def __init__(self) -> None:
         super().__init__()
         self.missed: dict[str, None] = {}
-        self.before = before if before is not None else {}
 
-    def __missing__(self, key: str):
-        if (value := self.before.get(key)) is not None:
-            self[key] = value
-            return value
+    def __missing__(self, key: str) -> str:
         self.missed[key] = None
         return key
 
     def renewed(self, most: int) -> Known:
-        """This table, or once it has over `most` entries, an empty one with this as the generation before."""
-        if len(self) <= most:
-            return self
-        return Known(dict(self))
+        """This table, or once it has over `most` entries, an empty one."""
+        return self if len(self) <= most else Known()
 
 
 class Resting:
@@ -58,17 +54,25 @@ class Resting:
 
     def __init__(self) -> None:
         self.known = Known()
-        self._timer: threading.Timer | None = None
-
-    def wake(self) -> None:
-        if self._timer:
-            self._timer.cancel()
-
-    def rest(self) -> None:
-        self.wake()
-        self._timer = threading.Timer(self.IDLE_S, self.forget)
-        self._timer.daemon = True
-        self._timer.start()
-
-    def forget(self) -> None:
-        self.known = Known()
+        self._lock, self._timer, self._awake = threading.Lock(), None, False
+
+    @contextmanager
+    def awake(self) -> Iterator[None]:
+        """While this lasts, nothing is forgotten."""
+        with self._lock:
+            self._awake = True
+            if self._timer:
+                self._timer.cancel()
+        try:
+            yield
+        finally:
+            with self._lock:
+                self._awake = False
+                self._timer = threading.Timer(self.IDLE_S, self._forget)
+                self._timer.daemon = True
+                self._timer.start()
+
+    def _forget(self) -> None:
+        with self._lock:
+            if not self._awake:
+                self.known = Known()
