@@ -7,8 +7,10 @@ each node the log-odds that it belongs to the article. Decoding then picks the b
 nodes are around the article, in it, or dropped; below a dropped node all is dropped, and only what is
 around the article may hold something of it further down.
 
-Defined results: null or empty html gives an empty text; broken markup is read as far as it goes;
-repeated rows and null ids are kept; an empty table gives no rows; pages of any length are read whole.
+Defined results: null or empty html gives an empty text; broken markup is read as far as it goes: of
+a skipped element without an end tag just the tag is skipped, unless it is raw text, and a head ends where
+something stands that may not be in it; repeated rows and null ids are kept; an empty table gives no rows;
+pages of any length are read whole.
 """
 
 from __future__ import annotations
@@ -33,7 +35,9 @@ ATTRIBUTE = re.compile(r"""\b(class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*
 
 # How HTML elements behave.
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark math nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split())
-SKIPPED = frozenset("applet audio button canvas embed head iframe map noframes noscript object script select style svg template textarea title video".split())
+SKIPPED = frozenset("applet audio button canvas map noscript object select svg template video".split())
+# Of these all is text up to the end tag, or, as in browsers, up to the end of the page if there is none.
+RAW = frozenset("iframe noframes script style textarea title".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CLOSED_BY = {"li": frozenset({"li"}), "dt": frozenset({"dt", "dd"}), "dd": frozenset({"dt", "dd"}), "tr": frozenset({"tr", "td", "th"}), "td": frozenset({"td", "th"}), "th": frozenset({"td", "th"}), "option": frozenset({"option"})}
 SCOPES = frozenset("ul ol dl table body html".split())
@@ -57,6 +61,30 @@ ABOVE = ["nav", "header", "footer", "aside", "form", "article", "main"]
 FEATURES = len(TAGS) + len(HINTS) + len(ABOVE) + len(HINTS) + 18
 
 
+def tags_of(source: str) -> Iterator[tuple[int, int, str, bool, str]]:
+    """Start, end, name (empty for comments), whether it closes, and attributes of each tag; a raw-text element is one tag with its text."""
+    at = 0
+    while m := TAG.search(source, at):
+        at, tag, closing, attributes = m.end(), (m[2] or m[5] or "").lower(), bool(m[1] or m[4]), m[3] or m[6] or ""
+        if tag in RAW and not closing and not attributes.endswith("/"):
+            end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(source, at)
+            at = end.end() if end else len(source)
+        yield m.start(), at, tag, closing, attributes
+
+
+def ends_of(tags: list[tuple[int, int, str, bool, str]]) -> dict[int, int]:
+    """Where in tags the skipped elements start and end; one whose end tag is missing is not among them."""
+    ends, still_open = {}, {tag: [] for tag in SKIPPED}
+    for k, (_, _, tag, closing, attributes) in enumerate(tags):
+        if tag in SKIPPED:
+            if not closing:
+                if not attributes.endswith("/"):
+                    still_open[tag].append(k)
+            elif still_open[tag]:
+                ends[still_open[tag].pop()] = k
+    return ends
+
+
 class Page:
     """The tree of a page: for each node its parent (earlier in the lists), tag, hints, text and linked letters."""
 
@@ -75,30 +103,33 @@ class Page:
                 pieces.clear()
             linked = 0
 
-        while m := TAG.search(source, at):
-            if m.start() > at:
-                pieces.append(source[at : m.start()])
+        tags = list(tags_of(source))
+        ends, k = ends_of(tags), 0
+        while k < len(tags):
+            start, end, tag, closing, attributes = tags[k]
+            if start > at:
+                pieces.append(source[at:start])
                 if links:
-                    linked += m.start() - at
-            at = m.end()
-            tag = m[2] or m[5]
+                    linked += start - at
+            at, here, k = end, k, k + 1
             if not tag:
                 continue
-            tag, closing = tag.lower(), m[1] or m[4]
             if closing:
                 if tag == "a":
                     links = max(0, links - 1)
                 elif tag not in INLINE and tag not in VOID:
                     flush()
-                    for k in range(len(stack) - 1, 0, -1):
-                        if self.tag[stack[k]] == tag:
-                            del stack[k:]
+                    for j in range(len(stack) - 1, 0, -1):
+                        if self.tag[stack[j]] == tag:
+                            del stack[j:]
                             break
                 continue
-            if tag in SKIPPED and not (m[3] or m[6] or "").endswith("/"):
-                flush() if tag not in ("img", "button") else None
-                end = re.compile(rf"</{re.escape(tag)}\b[^>]*>" + (r"|(?=<body\b)" if tag == "head" else ""), re.I).search(source, at)
-                at = end.end() if end else len(source)
+            if tag == "head" or tag in RAW | SKIPPED and not attributes.endswith("/"):
+                # What may stand in a head is skipped by itself; what may not ends the head and is shown.
+                flush() if tag != "button" else None
+                if here in ends:
+                    k = ends[here] + 1
+                    at = tags[k - 1][1]
             elif tag == "a":
                 links += 1
             elif tag not in INLINE:
@@ -107,17 +138,17 @@ class Page:
                     continue
                 if self.tag[stack[-1]] == "p":
                     stack.pop()
-                elif "p" in (self.tag[k] for k in stack[-3:]) and tag == "p":
+                elif "p" in (self.tag[j] for j in stack[-3:]) and tag == "p":
                     while self.tag[stack.pop()] != "p":
                         pass
                 if tag in CLOSED_BY:
-                    for k in range(len(stack) - 1, 0, -1):
-                        if self.tag[stack[k]] in CLOSED_BY[tag]:
-                            del stack[k:]
+                    for j in range(len(stack) - 1, 0, -1):
+                        if self.tag[stack[j]] in CLOSED_BY[tag]:
+                            del stack[j:]
                             break
-                        if self.tag[stack[k]] in SCOPES:
+                        if self.tag[stack[j]] in SCOPES:
                             break
-                stack.append(self._add(stack[-1], tag, self._hinted(m[3] or m[6] or ""), "", 0))
+                stack.append(self._add(stack[-1], tag, self._hinted(attributes), "", 0))
         pieces.append(source[at:])
         flush()
 

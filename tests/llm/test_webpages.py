@@ -2,6 +2,7 @@
 
 import html
 import re
+import time
 
 import numpy as np
 import pytest
@@ -70,6 +71,26 @@ def test_blocks(inner, want):
     assert "\n".join(t for t in page.text if t) == want
 
 
+@pytest.mark.parametrize(
+    "source",
+    [
+        "<body><p>a</p><embed src=x><p>b</p>", "<body><p>a</p><embed src=x/><p>b</p>", "<body><p>a</p><svg><path d=x><p>b</p>", "<body><p>a</p><map name=m><area><p>b</p><svg><text>no</text></svg>", "<body><p>a</p><button><p>b</p>",
+        "<body><p>a</p><button><p>b</p><button>no</button>", "<body><p>a</p><object><object>no</object>no</object><p>b</p>", "<body><p>a</p><svg><script>'</svg>'</script><text>no</text></svg><p>b</p>",
+        "<head><meta charset=utf-8><title>no</title><style>no</style><p>a</p><p>b</p>", "<html><head><title>no</title><noscript>no</noscript><link rel=x><article><p>a</p><p>b</p></article>", "<head><title>no</title><p>a</p></head><body><p>b</p>",
+        "<p>a</p><p>b</p><script>never <p>closed</p>", "<p>a</p><p>b</p><textarea>never <p>closed</p>", "<p>a</p><p>b</p><title>never <p>closed</p>",
+    ],
+)
+def test_skipping_ends(source):
+    """What stands behind a void or unclosed element, or in a head that is not closed, is read; raw text runs to the end."""
+    assert [t for t in webpages.Page(source).text if t] == ["a", "b"]
+
+
+def test_many_unclosed_elements():
+    started = time.monotonic()
+    page = webpages.Page("<body>" + "<svg><button>x" * 100_000)
+    assert sum(t.count("x") for t in page.text) == 100_000 and time.monotonic() - started < 20
+
+
 def test_decoding_is_consistent():
     page = webpages.Page("<body><div><p>one</p><div><p>two</p></div></div><p>three</p></body>")
     names = {page.text[i]: i for i in range(len(page.text)) if page.text[i]}
