@@ -3,7 +3,9 @@
 A document's histograms of character classes and of common words are held against those of all documents
 of its language by Jensen-Shannon distance (base 2, 0 to 1). Documents with few words have histograms
 that scatter, so that the verdict asks for a minimum length, and allows the common words a distance that
-falls with it. All is DataFrame expressions; the references are a row for each known language.
+falls with it: the one that words drawn from the language's own histogram exceed once in 1 / FALSE_ALARMS
+documents, and SLACK. op8_quality_rules has the allowance of its SQL instead, which is wider. All is
+DataFrame expressions; the references are a row for each known language.
 
 Defined results: a null text has no words and fails by its length; documents of unknown or null language
 get no verdict by divergence; repeated rows and null ids are kept apart; an empty table gives no rows.
@@ -12,6 +14,7 @@ Columns beside text and lang travel along, except those named like the result's.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,8 +37,12 @@ LEAST_WORDS = 20
 MOST_REPEATED = 30
 #: Words from which on a document is held against its language.
 GUARD_WORDS = 50
-#: Distances allowed: of classes, and of common words, the latter plus NOISE / sqrt(words).
+#: Distances allowed: of classes, and of common words, the latter plus NOISE / sqrt(words). The latter is the SQL's.
 MOST_CLASSES, MOST_COMMON, NOISE = 0.28, 0.11, 2.0
+#: The allowance by noise: share of drawn documents beyond it, and what is added as real words are not drawn one by one.
+FALSE_ALARMS, SLACK = 0.001, 0.01
+#: Where noise is found by drawing: numbers of words GUARD_WORDS * STEP**k, so many of them, and draws at each.
+STEP, STEPS, DRAWS = 1.25, 28, 20_000
 
 
 def _without(text: Column, pattern: str) -> Column:
@@ -86,6 +93,28 @@ def distance(counts: Column, shares: Column) -> Column:
     return F.when((total > 0) & shares.isNotNull(), F.sqrt(F.greatest(sum_ / 2, F.lit(0.0))))
 
 
+def noise(shares: list[float]) -> list[float] | None:
+    """Distances from shares times sqrt(words) that FALSE_ALARMS of the draws exceed, at each number of words; None without shares."""
+    q, rng, out = np.array(shares, float), np.random.default_rng(0), []
+    if not q.sum():
+        return None
+    q /= q.sum()
+    for k in range(STEPS):
+        n = round(GUARD_WORDS * STEP**k)
+        p = rng.multinomial(n, q, DRAWS) / n
+        m = (p + q) / 2
+        bits = [np.where(x > 0, x * np.log2(np.where(x > 0, x, 1) / np.where(m > 0, m, 1)), 0).sum(1) for x in (p, np.broadcast_to(q, p.shape))]
+        out.append(float(np.quantile(np.sqrt(np.maximum(sum(bits) / 2, 0)), 1 - FALSE_ALARMS) * n**0.5))
+    return out
+
+
+def allowed(words: Column, noises: Column) -> Column:
+    """The distance of common words allowed at a number of words, between those of noises in proportion to the logarithm."""
+    place = F.least(F.log(F.greatest(words, F.lit(GUARD_WORDS)) / GUARD_WORDS) / float(np.log(STEP)), F.lit(STEPS - 1.0))
+    k = F.least(F.floor(place), F.lit(STEPS - 2)).cast("int")
+    return SLACK + (F.get(noises, k) + (F.get(noises, k + 1) - F.get(noises, k)) * (place - k)) / F.sqrt(words)
+
+
 def base_rules(counted: DataFrame) -> DataFrame:
     """Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed."""
     word = F.transform("_words", lambda w: F.xxhash64(w))
@@ -109,13 +138,13 @@ def base_rules(counted: DataFrame) -> DataFrame:
     return out.withColumn("base_failed", (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words")))
 
 
-def judged(docs: DataFrame, keep_text: bool = True) -> DataFrame:
+def judged(docs: DataFrame, keep_text: bool = True, by_noise: bool = True) -> DataFrame:
     """docs with the base rules' columns, class_distance, word_distance and kept; without text unless keep_text.
 
     What is counted in the texts is written, without them, and the references are made from that. Verdicts
     come from the same table, or, where texts have to go with them, from a second reading: a table with texts
     would need the disk of one more copy. The references have a row for each language of COMMON at most, so
-    that they may be broadcast.
+    that they may be broadcast. Common words are allowed the distance of noise, or else the SQL's.
     """
     made = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "class_distance", "word_distance", "kept")
     given = [c for c in docs.columns if c not in made and (keep_text or c != "text")]
@@ -126,9 +155,14 @@ def judged(docs: DataFrame, keep_text: bool = True) -> DataFrame:
     else:
         counted = written(base_rules(counts).select(*given, *made[:6], "_lang", "_classes", "_common"), "counted")
         refs = references(counted)
+    allowance = MOST_COMMON + NOISE / F.sqrt(F.col("n_words"))
+    if by_noise:
+        rows = [(r["_ref"], r["ref_classes"], r["ref_common"], noise(r["ref_common"])) for r in refs.collect()]
+        refs = docs.sparkSession.createDataFrame(rows, "_ref string, ref_classes array<double>, ref_common array<double>, _noises array<double>")
+        allowance = allowed(F.col("n_words"), F.col("_noises"))
     out = counted.join(F.broadcast(refs), F.col("_lang") == F.col("_ref"), "left")
     out = out.withColumns({"class_distance": distance(F.col("_classes"), F.col("ref_classes")), "word_distance": distance(F.col("_common"), F.col("ref_common"))})
-    far = (F.col("class_distance") > MOST_CLASSES) | (F.col("word_distance") > MOST_COMMON + NOISE / F.sqrt(F.col("n_words")))
+    far = (F.col("class_distance") > MOST_CLASSES) | (F.col("word_distance") > allowance)
     kept = ~F.col("base_failed") & ~F.coalesce((F.col("n_words") >= GUARD_WORDS) & far, F.lit(False))
     # Always true, but no function of the row: so a filter on kept stays above what it is made from, which
     # would otherwise be put into the filter whole and evaluated again for each use.
@@ -136,4 +170,4 @@ def judged(docs: DataFrame, keep_text: bool = True) -> DataFrame:
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judged(documents(spark, sf_dir).select("doc_id", "text", "lang"), keep_text=False).drop("lang", "class_distance", "word_distance")
+    return judged(documents(spark, sf_dir).select("doc_id", "text", "lang"), keep_text=False, by_noise=False).drop("lang", "class_distance", "word_distance")

@@ -48,6 +48,22 @@ def test_divergence(spark):
     assert out[101]["class_distance"] is None and out[100]["class_distance"] > out[0]["class_distance"]
 
 
+def test_allowance_by_noise(spark):
+    """Of the labelled documents that divergence judges, few junk ones stay and hardly a good one goes; the SQL's allowance keeps 39 of 296."""
+    given = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text", "lang")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet").select("doc_id", "quality")
+    out = quality.judged(given, keep_text=False).join(labels, "doc_id").filter(f"not base_failed and n_words >= {quality.GUARD_WORDS}").groupBy("quality", "kept").count().collect()
+    n = {(r["quality"], r["kept"]): r["count"] for r in out}
+    assert n.get((0, True), 0) <= 0.04 * (n[0, False] + n.get((0, True), 0)) and n.get((1, False), 0) <= 0.002 * n[1, True], n
+
+
+def test_noise():
+    assert quality.noise([0.0] * 13) is None
+    got = quality.noise([0.04, 0.02, 0.02, 0.02, 0.01, 0.01, 0.01, 0.01, 0.01, 0.01, 0.01, 0.01, 0.82])
+    # In long documents 8 n ln 2 times the square of the distance is chi-squared of 12 degrees: 32.9 at one in a thousand.
+    assert len(got) == quality.STEPS and abs(got[-1] - (32.9 / 8 / 0.6931) ** 0.5) < 0.1 and got[0] < got[-1]
+
+
 def test_filter_on_long_texts_is_linear(spark):
     """A filter on the verdict must not be pushed into what it is made from."""
     text = " ".join(f"w{i}" if i % 3 else "the" for i in range(30_000))
