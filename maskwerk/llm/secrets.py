@@ -11,10 +11,12 @@ own; an empty table gives no rows; only the path column and text are read.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maskwerk.llm.common import documents
+from maskwerk.llm.common import documents, shared_dir
 
 # Kind, pattern, group whose length counts, least length. The first three are the base.
 RULES = {
@@ -28,6 +30,8 @@ RULES = {
 }
 BASE = ("assign", "access", "hex")
 VERSION = "1"
+#: The setting that names a ledger to go on with; without it, a run has one of its own in the shared folder.
+LEDGER = "spark.maskwerk.secrets.ledger"
 SPAN = "struct<s:int,k:int,e:int>"
 
 
@@ -132,8 +136,13 @@ def redacted(text: Column, found: Column, mask: str = "[secret]") -> Column:
     return F.when(F.size(found) == 0, text).otherwise(whole)
 
 
+def ledger_path(spark: SparkSession) -> str:
+    return spark.conf.get(LEDGER, None) or f"{shared_dir(spark).rstrip('/')}/ledger-{uuid.uuid4().hex}"
+
+
 def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = scanned(documents(spark, sf_dir))
+    docs = documents(spark, sf_dir)
+    out = joined_to_paths(docs, by_blob(scan_versions(docs, ledger_path(spark))), ["doc_id"])
     count = lambda k: F.size(F.filter("found", lambda x: x["k"] == BASE.index(k))).cast("long").alias(f"n_{k}")
     base = F.filter("found", lambda x: x["k"] < len(BASE))
     return out.select("doc_id", *map(count, BASE), F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("found")).alias("spans"))

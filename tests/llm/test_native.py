@@ -128,6 +128,20 @@ def test_ledger_scans_only_what_is_new(spark, tmp_path):
     assert secrets.unseen(more, spark.read.parquet(path), ["hex"], version="2").count() == 6
 
 
+def test_secret_query_keeps_the_ledger(spark, tmp_path, monkeypatch):
+    path, given = str(tmp_path / "ledger"), [spark.createDataFrame(rows, "doc_id long, text string") for rows in (SECRETS[:4], [*SECRETS, (50, SECRETS[0][1])])]
+    monkeypatch.setattr(secrets, "documents", lambda s, d: given[int(d)])
+    fresh = sorted(map(tuple, secrets.op2_secret_scans(spark, "1").collect()))
+    spark.conf.set("spark.maskwerk.secrets.ledger", path)
+    try:
+        for d, blobs in (("0", 4), ("1", 10), ("1", 10)):
+            out = sorted(map(tuple, secrets.op2_secret_scans(spark, d).collect()))
+            assert spark.read.parquet(path).count() == blobs * len(secrets.RULES)
+        assert out == fresh
+    finally:
+        spark.conf.unset("spark.maskwerk.secrets.ledger")
+
+
 def test_redaction(spark):
     given = spark.createDataFrame([(t,) for _, t in SECRETS], "text string").withColumn("doc_id", F.lit(1).cast("long"))
     for r in secrets.scanned(given, ["text"]).withColumn("out", secrets.redacted(F.col("text"), F.col("found"))).collect():
