@@ -9,7 +9,8 @@ hold 64 sequences; what a window serves is cut every `length` tokens.
 
 Defined results: a null text is empty and gives just the end id; null sources are a queue of their own;
 repeated rows each get their own pieces; an empty table gives no rows; only doc_id, source and text are
-read.
+read. A special token that a text quotes, like <|endoftext|>, is taken as plain text (encode_special_tokens),
+so that no text can end a document; the library's default gives its id instead.
 """
 
 from __future__ import annotations
