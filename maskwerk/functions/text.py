@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from maskwerk.functions import arrays as A
+
 HIT = "array<struct<start:int,end:int,text:string>>"
 
 # Legal forms of companies in normal form, longest compounds first.
@@ -31,17 +33,12 @@ def matches(text: Column, pattern: str | Column, group: int = 0) -> Column:
     group must end where its match ends.
     """
     regex = F.lit(pattern) if isinstance(pattern, str) else pattern
-    gaps, whole = F.split(text, regex, -1), F.regexp_extract_all(text, regex, F.lit(0))
-    told = F.regexp_extract_all(text, regex, F.lit(group)) if group else whole
-    parts = F.arrays_zip(F.slice(gaps, F.lit(1), F.size(whole)).alias("gap"), whole.alias("all"), told.alias("told"))
-
-    def step(a: Column, x: Column) -> Column:
-        end = a["at"] + F.length(x["gap"]) + F.length(x["all"])
-        hit = F.struct((end - F.length(x["told"])).alias("start"), end.alias("end"), x["told"].alias("text"))
-        return F.struct(end.alias("at"), F.concat(a["out"], F.array(hit)).alias("out"))
-
-    start = F.struct(F.lit(0).alias("at"), none().alias("out"))
-    return F.when(F.rlike(text, regex), F.aggregate(parts, start, step)["out"]).otherwise(none())
+    told = lambda g: F.regexp_extract_all(text, regex, F.lit(g))
+    # What lies between has one more element, which has no match and is dropped.
+    sizes = F.zip_with(F.split(text, regex, -1), told(0), lambda gap, whole: F.length(gap) + F.length(whole))
+    hit = lambda end, t: F.struct((end - F.length(t)).alias("start"), end.alias("end"), t.alias("text"))
+    hits = F.filter(F.zip_with(A.running(sizes), told(group), hit), lambda h: h["text"].isNotNull())
+    return F.when(F.rlike(text, regex), hits).otherwise(none())
 
 
 def _decomposed(texts: pd.Series) -> pd.Series:
