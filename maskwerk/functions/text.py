@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import hmac
 import unicodedata
 
 import pandas as pd
@@ -92,10 +93,23 @@ def canonical(category: Column, value: Column) -> Column:
 
 
 def hmac_sha256(text: Column, key: bytes) -> Column:
-    """Keyed digest of a text, as hex. The pads of the key are part of the plan."""
-    block = key.ljust(64, b"\0") if len(key) <= 64 else hashlib.sha256(key).digest().ljust(64, b"\0")
-    inner, outer = (F.lit(bytearray(x ^ pad for x in block)) for pad in (0x36, 0x5C))
-    return F.sha2(F.concat(outer, F.unhex(F.sha2(F.concat(inner, F.encode(text, "UTF-8")), 256))), 256)
+    """Keyed digest of a text, as hex, in Arrow batches: as an expression it would show the key in the plan."""
+
+    @F.pandas_udf("string")
+    def hmac_of(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else hmac.new(key, t.encode(), hashlib.sha256).hexdigest())
+
+    return hmac_of(text)
+
+
+def held(key: bytes):
+    """A function of any column that gives the key for each row; plans name the function, not the key."""
+
+    @F.pandas_udf("binary")
+    def key_of(rows: pd.Series) -> pd.Series:
+        return pd.Series([key] * len(rows))
+
+    return key_of
 
 
 def counts_json(counts: Column) -> Column:

@@ -2,7 +2,8 @@
 
 An entry's hash is the SHA-256 of its seven fields joined by a pipe; it ends with the hash before it. A
 chain is serial: appending a batch folds over that batch in order. Verifying is parallel: each entry is
-held against the one before it, in ranges of ids, and the ends of ranges against each other.
+held against the one before it, in ranges of ids, and the first of a range against the end of the range
+before it.
 """
 
 from __future__ import annotations
@@ -59,13 +60,12 @@ def checked(log: DataFrame) -> DataFrame:
     """id and ok: whether the entry's hash is right and follows from the entry before it."""
     part = F.floor(F.col("id") / RANGE)
     rows = log.select("id", "prev_hash", "this_hash", (entry_hash() == F.col("this_hash")).alias("right"), part.alias("part"))
-    ends = rows.groupBy("part").agg(F.max_by("this_hash", "id").alias("end"))
-    # Of each range one row: 1/RANGE of the log.
-    before = F.lag("end", 1, GENESIS).over(Window.partitionBy(F.lit(0)).orderBy("part"))
-    ends = ends.select(F.col("part").alias("p_"), before.alias("before"))
+    ends = rows.groupBy("part").agg(F.max_by("this_hash", "id").alias("before")).select((F.col("part") + 1).alias("p_"), "before")
     inside = F.lag("this_hash").over(Window.partitionBy("part").orderBy("id"))
-    rows = rows.withColumn("inside", inside).join(ends, F.col("part") == F.col("p_"))
-    return rows.select("id", (F.col("right") & (F.col("prev_hash") == F.coalesce("inside", "before"))).alias("ok"))
+    rows = rows.withColumn("inside", inside).join(ends, F.col("part") == F.col("p_"), "left")
+    # Ids begin with 1; where all of a range is gone, the next one follows from nothing.
+    last = F.coalesce("inside", F.when(F.col("part") == 0, F.lit(GENESIS)).otherwise(F.col("before")))
+    return rows.select("id", F.coalesce(F.col("right") & (F.col("prev_hash") == last), F.lit(False)).alias("ok"))
 
 
 def verify(log: DataFrame) -> bool:

@@ -13,7 +13,6 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from maskwerk.functions import text as X
@@ -24,8 +23,8 @@ from maskwerk.plans.tables import written
 
 PLACEHOLDER = "<[A-Z_]+_[0-9]{3,}>"
 MAPPING = "placeholder string, category string, normal string, original string, use_count long"
-#: Ranges of documents that entities are numbered in.
-RANGES = 64
+#: Entities of one range of documents, about, in which they are numbered; the number of ranges follows from the data.
+RANGE_ROWS = 200_000
 
 
 def detected(segments: DataFrame, recognizers: Sequence[Recognizer] | None = None) -> DataFrame:
@@ -118,16 +117,21 @@ def merged(keys: DataFrame, existing: DataFrame | None = None) -> DataFrame:
     return out.union(plain).distinct()
 
 
+def ranged(rows: DataFrame, order: list[str], size: int = RANGE_ROWS) -> DataFrame:
+    """rows with part, the number of their range in an order, of any type: ranges hold about `size` rows each.
+
+    The ranges are those of Spark's range partitioning, whose bounds are sampled; the table is written, so that
+    a task that runs again cannot see other bounds.
+    """
+    count = max(1, -(-rows.count() // size))
+    return written(rows.repartitionByRange(count, *order).withColumn("part", F.spark_partition_id()), "ranged")
+
+
 def numbered(keys: DataFrame, existing: DataFrame | None = None) -> DataFrame:
     """New mappings of keys (first_seen, merged): numbers go on from the largest that exists."""
-    if isinstance(keys.schema["at"].dataType["doc_id"].dataType, T.NumericType):
-        points = keys.agg(F.percentile_approx(F.col("at.doc_id").cast("long"), [i / RANGES for i in range(1, RANGES)], 1000)).first()[0] or []
-        splitters = F.array(*[F.lit(p).cast("long") for p in sorted(set(points))]).cast("array<long>")
-        part = F.coalesce(F.size(F.filter(splitters, lambda p: p <= F.col("at.doc_id").cast("long"))), F.lit(-1))
-    else:  # text ids: their beginnings are in the same order
-        part = F.coalesce(F.substring(F.col("at.doc_id").cast("string"), 1, 64), F.lit(""))
-    keys = keys.withColumn("part", part)
+    keys = ranged(keys, ["category", "at", "normal"])
     sums = keys.groupBy("category", "part").agg(F.count("*").alias("n"))
+    # A row for each category and range: as many ranges as the data has RANGE_ROWS.
     before = F.coalesce(F.sum("n").over(Window.partitionBy("category").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = sums.select(F.col("category").alias("c_"), F.col("part").alias("p_"), before.alias("before"))
     rank = F.row_number().over(Window.partitionBy("category", "part").orderBy("at", "normal"))
@@ -203,7 +207,8 @@ def missing(texts: DataFrame, mapping: DataFrame, column: str = "anonymized") ->
 class Store:
     """A mapping table of one profile, in a folder: each write is a version of its own, named by the last pointer.
 
-    Originals and normal forms are encrypted at rest; equality goes by keyed digest.
+    Originals and normal forms are encrypted at rest; equality goes by keyed digest. Keys reach executors in
+    functions, not as literals, so that no plan shows them.
     """
 
     def __init__(self, spark, path: str, key: bytes, digest_key: bytes):
@@ -220,12 +225,14 @@ class Store:
         versions = self._versions()
         if not versions:
             return None
-        plain = lambda c: F.aes_decrypt(F.col(c), F.lit(bytearray(self.key))).cast("string")
+        key = X.held(self.key)
+        plain = lambda c: F.aes_decrypt(F.col(c), key(F.col(c))).cast("string")
         return self.spark.read.parquet(f"{self.path}/{versions[-1]}").select("placeholder", "category", plain("normal_ct").alias("normal"), plain("original_ct").alias("original"), "use_count")
 
     def save(self, table: DataFrame) -> None:
         """Writes the next version; a run that fails leaves the last one as it is."""
-        hidden = lambda c: F.aes_encrypt(F.col(c), F.lit(bytearray(self.key)))
+        key = X.held(self.key)
+        hidden = lambda c: F.aes_encrypt(F.col(c), key(F.col(c)))
         out = table.select("placeholder", "category", hidden("normal").alias("normal_ct"), hidden("original").alias("original_ct"), X.hmac_sha256(F.col("normal"), self.digest_key).alias("normal_hmac"), "use_count")
         out.write.parquet(f"{self.path}/{len(self._versions()):08d}-{uuid.uuid4().hex[:8]}")
 

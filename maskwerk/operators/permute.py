@@ -12,6 +12,10 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 
+#: Rows of one range of the random order, about.
+PART_ROWS = 500_000
+
+
 def key_from_secret(secret: bytes, label: bytes = b"maskwerk-permute-v1") -> bytes:
     return hashlib.sha256(label + secret).digest()
 
@@ -49,19 +53,28 @@ def exact(cells: DataFrame, key: bytes) -> DataFrame:
     return cells.select("sheet", "col", "row", "value").groupBy("sheet", "col").applyInPandas(run, "sheet string, col string, row long, value double")
 
 
-def spread(rows: DataFrame, row_id: str, column: str, key: bytes, parts: int = 64) -> DataFrame:
+def order_of(row_id: Column, seed: int) -> Column:
+    """A random order of ids: the SHA-256 of seed and id, as hex."""
+    return F.sha2(F.concat_ws("|", F.lit(str(seed)), row_id.cast("string")), 256)
+
+
+def spread(rows: DataFrame, row_id: str, column: str, key: bytes, parts: int | None = None) -> DataFrame:
     """rows with the values of one column permuted, by joins alone.
 
-    Places and values are each put in a keyed random order and numbered; a place gets the value of its
-    number. Numbers are counted in `parts` ranges of the keyed hash, so that no task orders all rows.
+    Places and values are each put in a random order that the key seeds (order_of), and numbered; a place gets
+    the value of its number. Numbers are counted in ranges of the order, so that no task orders all rows: as
+    many as the data has PART_ROWS, unless `parts` says how many. The plan shows seeds, from which the key does
+    not follow.
     """
     some = rows.filter(F.col(column).isNotNull()).select(row_id, column)
+    parts = parts or max(1, -(-some.count() // PART_ROWS))
 
     def numbered(frame: DataFrame, salt: str) -> DataFrame:
-        frame = frame.withColumn("_h", F.xxhash64(F.lit(bytearray(key)), F.lit(salt), row_id))
-        frame = frame.withColumn("_p", F.pmod(F.shiftrightunsigned("_h", 40), F.lit(parts)))
+        frame = frame.withColumn("_h", order_of(F.col(row_id), seed_for(key, column, salt)))
+        # Leading digits in proportion: parts are in the order of the hash.
+        frame = frame.withColumn("_p", F.floor(F.conv(F.substring("_h", 1, 12), 16, 10).cast("long") * parts / float(1 << 48)).cast("long"))
         sums = frame.groupBy("_p").agg(F.count("*").alias("_n"))
-        # One row for each of `parts` ranges.
+        # One row for each range.
         starts = sums.select("_p", F.coalesce(F.sum("_n").over(Window.partitionBy(F.lit(0)).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_b"))
         rank = F.row_number().over(Window.partitionBy("_p").orderBy("_h", row_id))
         return frame.withColumn("_r", rank).join(F.broadcast(starts), "_p").withColumn("_k", F.col("_b") + F.col("_r"))

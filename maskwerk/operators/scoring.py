@@ -101,8 +101,10 @@ def gate_rows(lines: DataFrame) -> DataFrame:
     return rows.groupBy("category").agg(F.min_by("least", "n").cast("double").alias("least"))
 
 
-def coverage(keywords: DataFrame, files: DataFrame) -> DataFrame:
-    """keyword and n_files: how many files hold each keyword, in any case. keywords is a stated list."""
-    words = [r["keyword"] for r in keywords.collect()]
+def coverage(keywords: DataFrame, files: DataFrame, most: int = 10_000) -> DataFrame:
+    """keyword and n_files: how many files hold each keyword, in any case. keywords is a stated list of `most` at most."""
+    words = [r["keyword"] for r in keywords.limit(most + 1).collect()]
+    if len(words) > most:
+        raise ValueError(f"over {most} keywords")
     hits = files.select("path", F.explode(F.filter(F.array(*map(F.lit, words)), lambda k: F.lower(F.col("text")).contains(F.lower(k)))).alias("keyword"))
     return keywords.join(hits.groupBy("keyword").agg(F.countDistinct("path").alias("n_files")), "keyword", "left").na.fill(0, ["n_files"])

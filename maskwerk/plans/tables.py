@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; where it names none (tests on one machine), a temporary one is set."""
+    """The folder that spark.checkpoint.dir names. Only a local session may do without: then a temporary one is set."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not named:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         named = tempfile.mkdtemp(prefix="maskwerk-")
         sc.setCheckpointDir(named)
     elif sc.getCheckpointDir() is None:

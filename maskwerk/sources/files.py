@@ -71,8 +71,8 @@ def sniffed(sample: str) -> str:
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
     """Non-empty cells; quoted cells may hold line feeds. The delimiter is sniffed from the first 4096 characters."""
-    head = spark.read.text(path, wholetext=True).select(F.substring("value", 1, 4096)).first()
-    rows = spark.read.csv(path, sep=sniffed(head[0] if head else ""), header=False, multiLine=True, escape='"', inferSchema=False)
+    head = "\n".join(r[0] for r in spark.read.text(path).select(F.substring("value", 1, 4096)).limit(50).collect())[:4096]
+    rows = spark.read.csv(path, sep=sniffed(head), header=False, multiLine=True, escape='"', inferSchema=False)
     rows = rows.withColumn("row", F.monotonically_increasing_id()).withColumn("doc_id", F.input_file_name())
     cells = F.array(*[F.col(c) for c in rows.columns if c.startswith("_c")])
     out = rows.select("doc_id", "row", F.posexplode(cells).alias("col", "text")).filter("text is not null and text != ''")
@@ -170,10 +170,13 @@ def read_excel(spark: SparkSession, path: str, kinds: str = "sfc") -> DataFrame:
     return out.filter(F.instr(F.lit(kinds), F.col("kind")) > 0).select("doc_id", "part", "seg_no", "row", "col", "text")
 
 
-def read_terms(spark: SparkSession, path: str) -> list[str]:
-    """Custom terms: one a line, # begins a comment, two characters at least. A user's list, held by the driver."""
+def read_terms(spark: SparkSession, path: str, most: int = 10_000) -> list[str]:
+    """Custom terms: one a line, # begins a comment, two characters at least. A user's list of `most` at most, held by the driver."""
     lines = spark.read.text(path).select(F.trim(F.col("value")).alias("t")).filter("t not like '#%' and length(t) >= 2").distinct()
-    return sorted(r["t"] for r in lines.collect())
+    found = sorted(r["t"] for r in lines.limit(most + 1).collect())
+    if len(found) > most:
+        raise ValueError(f"over {most} terms in {path}")
+    return found
 
 
 def output_name(path: str, mode: str, taken: set[str] = frozenset()) -> str:
