@@ -2,14 +2,16 @@
 
 A page becomes a tree of block elements and runs of text. Each node has features: its tag, attribute
 tokens, depth, text, link and tag density of its subtree, statistics of its siblings, and what its
-ancestors are. Trees, fitted on TRAINING_PAGES pages that this module writes with known main text, give
+ancestors are. Trees, fitted on TRAINING_PAGES pages of two kinds that this module writes with known main text, give
 each node the log-odds that it belongs to the article. Decoding then picks the best consistent labelling:
 nodes are around the article, in it, or dropped; below a dropped node all is dropped, and only what is
 around the article may hold something of it further down.
 
+A block's text is one line: a br in it is white space, and what is skipped in it leaves nothing.
+
 Defined results: null or empty html gives an empty text; broken markup is read as far as it goes: of
 a skipped element without an end tag just the tag is skipped, unless it is raw text, and a head ends where
-something stands that may not be in it; repeated rows and null ids are kept; an empty table gives no rows;
+something stands that may not be in it; a slash closes svg tags and no others; repeated rows and null ids are kept; an empty table gives no rows;
 pages of any length are read whole.
 """
 
@@ -28,9 +30,11 @@ from pyspark.sql import DataFrame, SparkSession
 from maskwerk.llm.boosting import Boosted
 
 #: Pages written for the fit: the bound on its sample.
-TRAINING_PAGES = 300
+TRAINING_PAGES = 750
 
-TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>"']*(?:"[^"]*"[^>"']*|'[^']*'[^>"']*)*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
+OPEN = re.compile(r"<(?:(!--)|[!?]|(/?)([a-zA-Z][^\s/>]*))")
+# In attributes: a value in quotes, which may hold a >, or the end of the tag.
+QUOTED = re.compile(r"""=\s*(?:"[^"]*"|'[^']*')|>""")
 ATTRIBUTE = re.compile(r"""\b(class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 
 # How HTML elements behave.
@@ -58,18 +62,43 @@ HINTS = {
 }
 TOKEN_HINT = {t: k for k, (_, tokens) in enumerate(HINTS.items()) for t in tokens.split()}
 ABOVE = ["nav", "header", "footer", "aside", "form", "article", "main"]
+#: Log-odds that it takes, beyond its own, to drop a node from what is in the article.
+SWITCH = 4.0
 FEATURES = len(TAGS) + len(HINTS) + len(ABOVE) + len(HINTS) + 18
 
 
 def tags_of(source: str) -> Iterator[tuple[int, int, str, bool, str]]:
-    """Start, end, name (empty for comments), whether it closes, and attributes of each tag; a raw-text element is one tag with its text."""
-    at = 0
-    while m := TAG.search(source, at):
-        at, tag, closing, attributes = m.end(), (m[2] or m[5] or "").lower(), bool(m[1] or m[4]), m[3] or m[6] or ""
-        if tag in RAW and not closing and not attributes.endswith("/"):
-            end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(source, at)
-            at = end.end() if end else len(source)
-        yield m.start(), at, tag, closing, attributes
+    """Start, end, name (empty for comments), whether it closes, and attributes of each tag; a raw-text element is one tag with its text.
+
+    Read once from left to right. A quote is one only behind an equals sign. A tag whose quotes hide every > up
+    to the end of the page ends at its first >, and so do all behind it, which keeps the reading linear.
+    """
+    at, last, plain = 0, source.rfind(">"), False
+    while m := OPEN.search(source, at):
+        start, tag, attributes = m.start(), (m[3] or "").lower(), ""
+        if not tag:
+            end = source.find("-->" if m[1] else ">", m.end())
+            at = len(source) if end < 0 else end + (3 if m[1] else 1)
+        else:
+            end = source.find(">", m.end()) if m.end() <= last else -1
+            if end < 0:  # no tag any more
+                return
+            if not plain and ('"' in (body := source[m.end() : end]) or "'" in body):
+                k = m.end()
+                while (q := QUOTED.search(source, k)) and q[0] != ">":
+                    k = q.end()
+                plain = not q
+                end = q.start() if q else end
+            attributes, at = source[m.end() : end], end + 1
+            if tag in RAW and not m[2]:
+                close = re.compile(rf"</{tag}\b[^>]*>", re.I).search(source, at)
+                at = close.end() if close else len(source)
+        yield start, at, tag, bool(m[2]), attributes
+
+
+def closes_itself(attributes: str) -> bool:
+    """Whether a slash ends a tag's attributes, and not an unquoted value."""
+    return attributes.endswith("/") and not re.search(r"=\s*[^\s\"'][^\s]*$", attributes)
 
 
 def ends_of(tags: list[tuple[int, int, str, bool, str]]) -> dict[int, int]:
@@ -78,7 +107,8 @@ def ends_of(tags: list[tuple[int, int, str, bool, str]]) -> dict[int, int]:
     for k, (_, _, tag, closing, attributes) in enumerate(tags):
         if tag in SKIPPED:
             if not closing:
-                if not attributes.endswith("/"):
+                # Only in foreign elements does a slash close a tag.
+                if tag != "svg" or not closes_itself(attributes):
                     still_open[tag].append(k)
             elif still_open[tag]:
                 ends[still_open[tag].pop()] = k
@@ -86,21 +116,35 @@ def ends_of(tags: list[tuple[int, int, str, bool, str]]) -> dict[int, int]:
 
 
 class Page:
-    """The tree of a page: for each node its parent (earlier in the lists), tag, hints, text and linked letters."""
+    """The tree of a page: for each node its parent (earlier in the lists), tag, hints, text and linked letters.
+
+    What is skipped inside a block, like a script, parts its text into nodes; glue has the white space between
+    such a node and the one before it (None: a block of its own).
+    """
 
-    __slots__ = ("linked", "parent", "hints", "tag", "text")
+    __slots__ = ("glue", "linked", "parent", "hints", "tag", "text")
 
     def __init__(self, source: str):
-        self.parent, self.tag, self.hints, self.text, self.linked = [-1], ["html"], [0], [""], [0]
+        self.parent, self.tag, self.hints, self.text, self.linked, self.glue = [-1], ["html"], [0], [""], [0], [None]
         stack, pieces, linked, links, at = [0], [], 0, 0, 0
+        # The node that goes on behind something skipped, and whether white space was there.
+        goes_on, white = -1, False
 
-        def flush() -> None:
-            nonlocal linked
+        def flush(block: bool = True) -> None:
+            nonlocal linked, goes_on, white
             if pieces:
-                text = " ".join(html_.unescape("".join(pieces)).split())
+                raw = html_.unescape("".join(pieces))
+                text = " ".join(raw.split())
                 if text:
-                    self._add(stack[-1], "#text", 0, text, min(linked, len(text)))
+                    at = self._add(stack[-1], "#text", 0, text, min(linked, len(text)))
+                    if goes_on == at - 1:
+                        self.glue[at] = " " if white or raw[0].isspace() else ""
+                    goes_on, white = at, raw[-1].isspace()
+                else:
+                    white = white or bool(raw)
                 pieces.clear()
+            if block:
+                goes_on = -1
             linked = 0
 
         tags = list(tags_of(source))
@@ -124,14 +168,16 @@ class Page:
                             del stack[j:]
                             break
                 continue
-            if tag == "head" or tag in RAW | SKIPPED and not attributes.endswith("/"):
+            if tag == "head" or tag in RAW | SKIPPED:
                 # What may stand in a head is skipped by itself; what may not ends the head and is shown.
-                flush() if tag != "button" else None
+                flush(block=tag == "head") if tag != "button" else None
                 if here in ends:
                     k = ends[here] + 1
                     at = tags[k - 1][1]
             elif tag == "a":
                 links += 1
+            elif tag == "br":
+                pieces.append("\n")
             elif tag not in INLINE:
                 flush()
                 if tag in VOID:
@@ -153,7 +199,7 @@ class Page:
         flush()
 
     def _add(self, parent: int, tag: str, hints: int, text: str, linked: int) -> int:
-        for column, value in zip((self.parent, self.tag, self.hints, self.text, self.linked), (parent, tag, hints, text, linked), strict=True):
+        for column, value in zip((self.parent, self.tag, self.hints, self.text, self.linked, self.glue), (parent, tag, hints, text, linked, None), strict=True):
             column.append(value)
         return len(self.tag) - 1
 
@@ -227,12 +273,12 @@ class Page:
         return out
 
     def decode(self, odds: list[float]) -> list[str]:
-        """Texts of the nodes that the best consistent labelling has in the article, in page order."""
+        """Blocks of text that the best consistent labelling has in the article, in page order."""
         n = len(self.tag)
         inside, drop, around = list(odds), [-x for x in odds], [0.0] * n
         for i in range(n - 1, 0, -1):
             p = self.parent[i]
-            inside[p] += max(inside[i], drop[i])
+            inside[p] += max(inside[i], drop[i] - SWITCH)
             drop[p] += drop[i]
             around[p] += max(inside[i], drop[i]) if self.text[i] else max(around[i], inside[i], drop[i])
         state = ["around"] * n
@@ -240,11 +286,20 @@ class Page:
             up = state[self.parent[i]]
             if up == "drop":
                 state[i] = "drop"
-            elif up == "inside" or self.text[i]:
+            elif up == "inside":
+                state[i] = "inside" if inside[i] > drop[i] - SWITCH else "drop"
+            elif self.text[i]:
                 state[i] = "inside" if inside[i] > drop[i] else "drop"
             else:
                 state[i] = max(("around", around[i]), ("inside", inside[i]), ("drop", drop[i]), key=lambda x: x[1])[0]
-        return [self.text[i] for i in range(n) if self.text[i] and state[i] == "inside"]
+        out: list[str] = []
+        for i in range(n):
+            if self.text[i] and state[i] == "inside":
+                if self.glue[i] is not None and state[i - 1] == "inside":
+                    out[-1] += self.glue[i] + self.text[i]
+                else:
+                    out.append(self.text[i])
+        return out
 
 
 def written_page(seed: int) -> tuple[str, set[str]]:
@@ -324,12 +379,86 @@ def written_page(seed: int) -> tuple[str, set[str]]:
     return f"<!DOCTYPE html><html>{head}<body>{page}</body></html>", main
 
 
+def foreign_page(seed: int) -> tuple[str, set[str]]:
+    """A page whose class names say nothing, mostly of nested div elements, and the texts of its main text's blocks.
+
+    So that trees have to go by text, links, places and siblings where names do not help.
+    """
+    rng = random.Random(f"foreign {seed}")
+    letters = "abcdefghijklmnoprstuvwz"
+    word = lambda: "".join(rng.choice(letters) + rng.choice("aeiou") for _ in range(rng.randint(1, 4)))
+    words = lambda low, high: " ".join(word() for _ in range(rng.randint(low, high)))
+    sentence = lambda low=2, high=20: words(low, high).capitalize() + rng.choice("...?!")
+    prose = lambda low=1, high=6: " ".join(sentence() for _ in range(rng.randint(low, high)))
+    scheme = rng.choice([lambda: f"c{rng.randrange(10**6):x}", lambda: f"col-md-{rng.randint(1, 12)}", lambda: f"{word()}__{word()}", lambda: f"{word()}-{rng.randrange(99)} {word()}"])
+    semantic = rng.random() < 0.4
+    main: set[str] = set()
+
+    def named(tag: str, inner: str, plain: str = "div") -> str:
+        tag = tag if semantic or tag in ("p", "h1", "h2", "h3", "ul", "ol", "li") else plain
+        mark = f' class="{scheme()}"' if rng.random() < 0.6 else f" data-{word()}={word()}" if rng.random() < 0.2 else ""
+        return f"<{tag}{mark}>{inner}</{tag}>"
+
+    def wrapped(inner: str) -> str:
+        for _ in range(rng.choice([0, 0, 1, 2, 3])):
+            inner = named("section", inner)
+        return inner
+
+    def keep(text: str) -> str:
+        main.add(" ".join(text.split()))
+        return html_.escape(text, quote=False)
+
+    link = lambda low=1, high=3: f'<a href="/{word()}">{words(low, high)}</a>'
+    items = lambda n, low=1, high=3: "".join(named("li", link(low, high)) for _ in range(n))
+
+    def block() -> str:
+        kind = rng.random()
+        if kind < 0.66:
+            text = keep(prose())
+            if rng.random() < 0.3:  # inline markup, which ends no block
+                cut = text.find(" ", len(text) // 3)
+                text = f"{text[:cut]} <em>{text[cut + 1 :]}</em>" if cut > 0 and "&" not in text else text
+            return named("p", text) if rng.random() < 0.8 else f"<div>{text}</div>"
+        if kind < 0.76:
+            return named(rng.choice(["h2", "h3"]), keep(words(2, 7).capitalize()))
+        if kind < 0.86:
+            return named(rng.choice(["ul", "ol"]), "".join(named("li", keep(sentence())) for _ in range(rng.randint(2, 5))))
+        if kind < 0.9:
+            return named("figure", f"<img src=/{word()}.png>" + named("p", keep(sentence(3, 9))), "div")
+        if kind < 0.94:
+            return f"<blockquote>{named('p', keep(prose(1, 2)))}</blockquote>"
+        return wrapped(rng.choice([named("ul", items(rng.randint(2, 5), 3, 8)), f'<div class="{rng.choice(["ad", "promo", scheme()])}"><a href="/x">{sentence(3, 9)}</a></div>']))
+
+    def menu() -> str:
+        n = rng.randint(3, 10)
+        return named("nav", rng.choice([lambda: named("ul", items(n)), lambda: " | ".join(link() for _ in range(n)), lambda: "".join(f"<span>{link()}</span>" for _ in range(n))])())
+
+    def talk() -> str:
+        kind = rng.choice(["article", "section", "section"])
+        one = lambda: named(kind, f"<b>{word()}</b> <span>{rng.randint(1, 28)} {word()}</span>" + named("p", prose(1, 3)) + link(1, 1))
+        return f'<div class="{rng.choice(["comments", "thread", "responses", "comment-list"])}">' + named("h3", words(1, 3)) + "".join(one() for _ in range(rng.randint(1, 6))) + "</div>"
+
+    side = lambda: named("aside", "".join(named("h3", words(1, 3)) + rng.choice([named("ul", items(rng.randint(3, 7), 2, 7)), named("p", f"{sentence(4, 12)} {link()}")]) for _ in range(rng.randint(1, 3))))
+    form = lambda: f"<form action=/{word()}><label>{words(1, 4)}</label><input name=q><p>{sentence(4, 9)}</p></form>"
+    notice = lambda: f'<div class="{rng.choice(["cookie-bar", "consent", scheme()])}" role="dialog">{sentence()} {link(1, 2)} <button>{word()}</button></div>'
+    foot = lambda: named("footer", rng.choice([f"&copy; {rng.randint(1990, 2030)} {words(1, 3)}", named("p", f"{words(1, 4)} {link()} {link()}"), f"<ul>{items(4)}</ul>&copy; {words(1, 2)}"]))
+    head = lambda: named("header", f"<a href=/>{words(1, 2)}</a>" + (f"<p>{words(3, 8)}</p>" if rng.random() < 0.5 else ""))
+    some = lambda f, p: wrapped(f()) if rng.random() < p else ""
+    title = words(1, 10).capitalize()
+    body = (named("h1", keep(title)) if rng.random() < 0.9 else "") + "".join(block() for _ in range(rng.choice([1, 1, 2, 3, 5, 8, 14])))
+    article = wrapped(named(rng.choice(["article", "main"]), body))
+    if rng.random() < 0.1:  # the article and nothing else
+        return article, main
+    page = some(notice, 0.25) + some(head, 0.7) + some(menu, 0.7) + some(side, 0.15) + article + some(talk, 0.25) + some(side, 0.35) + some(form, 0.2) + some(notice, 0.1) + some(foot, 0.85)
+    return f"<!DOCTYPE html><html><head><title>{title}</title></head><body>{page}</body></html>", main
+
+
 @functools.lru_cache(1)
 def fitted(pages: int = TRAINING_PAGES) -> Boosted:
-    """Trees over nodes of written pages. A node counts as article if all text below it is."""
+    """Trees over nodes of written pages, two in five foreign ones. A node counts as article if all text below it is."""
     xs, ys = [], []
     for seed in range(pages):
-        source, main = written_page(seed)
+        source, main = foreign_page(seed) if seed % 5 in (1, 3) else written_page(seed)
         page = Page(source)
         own = [1 if t in main else 0 if t else None for t in page.text]
         whole = [o != 0 for o in own]
@@ -340,7 +469,7 @@ def fitted(pages: int = TRAINING_PAGES) -> Boosted:
         rows = [i for i in range(1, len(own)) if has[i]]
         xs.append(page.features()[rows])
         ys += [whole[i] for i in rows]
-    return Boosted().fit(np.concatenate(xs), np.array(ys, float))
+    return Boosted(trees=60, depth=5).fit(np.concatenate(xs), np.array(ys, float))
 
 
 def main_texts(sources: list[str], model: Boosted) -> list[str]:

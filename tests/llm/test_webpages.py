@@ -85,6 +85,62 @@ def test_skipping_ends(source):
     assert [t for t in webpages.Page(source).text if t] == ["a", "b"]
 
 
+@pytest.mark.parametrize(
+    ("inner", "want"),
+    [
+        ("<p>a<br>b<br/> c</p><p>d</p>", "a b c\nd"), ("<p>a<script>no</script>b <style>no</style>c<svg><text>no</text></svg></p>", "ab c"), ("<p>Hi</p><script src=a.js/>var leak=1;</script><p>x</p>", "Hi\nx"),
+        ("<p>a<svg width=1 /> b</p><svg width=1/><p>no</p></svg><p>c</p>", "a b\nc"), ("<p>a</p><script>no</script><p>b</p>", "a\nb"), ("<p title='1 > 0'>a</p><p title=\"x='>'\">b</p>", "a\nb"),
+    ],
+)
+def test_blocks_go_on_behind_what_is_skipped(inner, want):
+    page = webpages.Page(f"<html><body>{inner}</body></html>")
+    assert "\n".join(page.decode([1.0] * len(page.text))) == want
+
+
+@pytest.mark.parametrize("unit", ['<a x="y ', '<a x="> y="', "<a x='> y=\"", "<p ", "<!-- ", "<a =", "</p "])
+def test_reading_is_linear(unit):
+    started = time.monotonic()
+    webpages.Page(unit * (1_000_000 // len(unit)))
+    assert time.monotonic() - started < 15
+
+
+def strange_page(seed):
+    """A page of a third kind: a newspaper's layout in tables and sections, words as class names in another language, text by letters."""
+    import random
+
+    rng = random.Random(f"strange {seed}")
+    word = lambda: "".join(rng.choices("etaoinshrdluäöüéñ", k=rng.randint(2, 9)))
+    said = lambda a, b: " ".join(word() for _ in range(rng.randint(a, b))).capitalize() + "."
+    prose = lambda: " ".join(said(6, 18) for _ in range(rng.randint(1, 5)))
+    kinds = rng.sample(["spalte", "kasten", "zeile", "kopf", "fuss", "rand", "inhalt", "bereich", "block", "teil", "rahmen", "gruppe"], 12)
+    box = lambda k, x, tag="div": f'<{tag} class="{kinds[k]} {kinds[k]}-{rng.randint(1, 9)}">{x}</{tag}>'
+    main = set()
+
+    def own(text, tag="p"):
+        main.add(text)
+        return f"<{tag}>{text}</{tag}>"
+
+    links = lambda n: "".join(f'<li><a href="/{word()}">{said(1, 4)}</a></li>' for _ in range(n))
+    body = own(said(3, 9), "h1") + "".join(rng.choice([lambda: own(prose()), lambda: own(prose()), lambda: own(prose()), lambda: own(said(2, 6), "h3")])() for _ in range(rng.randint(3, 12)))
+    top = box(3, f"<a href=/>{word()}</a><ul>{links(rng.randint(4, 9))}</ul>", rng.choice(["div", "header"]))
+    rand = box(5, f"<h4>{said(1, 3)}</h4><ul>{links(rng.randint(4, 9))}</ul>", rng.choice(["div", "aside"]))
+    bottom = box(4, f"<p>&copy; {word()} <a href=/a>{word()}</a> <a href=/b>{word()}</a></p>", rng.choice(["div", "footer"]))
+    middle = box(6, body, rng.choice(["div", "section", "article"]))
+    middle = f"<table><tr><td>{rand}</td><td>{middle}</td></tr></table>" if rng.random() < 0.3 else box(0, middle + rand)
+    return f"<html><body>{top}{middle}{bottom}</body></html>", main
+
+
+def test_foreign_layouts():
+    """Precision and recall of blocks on pages of a generator that the trees have not been fitted on."""
+    model, found, right, wanted = webpages.fitted(), 0, 0, 0
+    for seed in range(200):
+        source, main = strange_page(seed)
+        got = set(filter(None, webpages.main_texts([source], model)[0].split("\n")))
+        found, right, wanted = found + len(got), right + len(got & main), wanted + len(main)
+    print("precision", right / found, "recall", right / wanted)
+    assert right / found > 0.9 and right / wanted > 0.9
+
+
 def test_many_unclosed_elements():
     started = time.monotonic()
     page = webpages.Page("<body>" + "<svg><button>x" * 100_000)
