@@ -16,7 +16,9 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from maskwerk.functions import arrays as A
 from maskwerk.llm.common import documents, shared_dir
+from maskwerk.operators import spans as S
 
 # Kind, pattern, group whose length counts, least length. The first three are the base.
 RULES = {
@@ -42,24 +44,18 @@ def blob(text: str = "text") -> Column:
 def spans(text: Column, kind: str) -> Column:
     """Matches of a kind that are long enough: array of (start, number of the kind, end), in code points.
 
-    Splitting at the pattern gives what lies between the matches; lengths of both, added up, give places.
+    Splitting at the pattern gives what lies between the matches; running sums of both lengths give places.
     """
     pattern, group, least = RULES[kind]
     number = list(RULES).index(kind)
-    lengths = lambda a: F.transform(a, lambda x: F.length(x))
-    gaps = lengths(F.split(text, pattern, -1))
-    whole = lengths(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
-    told = lengths(F.regexp_extract_all(text, F.lit(pattern), F.lit(group))) if group else whole
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("out"))
-
-    def step(a: Column, x: Column) -> Column:
-        s = a["at"] + x["gap"]
-        e = s + x["n"]
-        found = F.array(F.struct(s.alias("s"), F.lit(number).alias("k"), e.alias("e")))
-        return F.struct(e.alias("at"), F.when(x["told"] >= least, F.concat(a["out"], found)).otherwise(a["out"]).alias("out"))
-
-    parts = F.transform(F.arrays_zip(F.slice(gaps, 1, F.size(whole)).alias("gap"), whole.alias("n"), told.alias("told")), lambda x: F.struct(x["gap"].alias("gap"), x["n"].alias("n"), x["told"].alias("told")))
-    found = F.aggregate(parts, start, step)["out"]
+    told = lambda g: F.regexp_extract_all(text, F.lit(pattern), F.lit(g))
+    # What lies between has one more element, which has no match and is dropped.
+    ends = A.running(F.zip_with(F.split(text, pattern, -1), told(0), lambda gap, whole: F.length(gap) + F.length(whole)))
+    sizes = F.transform(told(0), lambda x: F.struct(F.length(x).alias("n"), F.length(x).alias("told")))
+    if group:
+        sizes = F.zip_with(told(0), told(group), lambda x, t: F.struct(F.length(x).alias("n"), F.length(t).alias("told")))
+    every = F.zip_with(ends, sizes, lambda e, x: F.struct(e.alias("e"), x["n"].alias("n"), x["told"].alias("told")))
+    found = F.transform(F.filter(every, lambda x: x["told"] >= least), lambda x: F.struct((x["e"] - x["n"]).alias("s"), F.lit(number).alias("k"), x["e"].alias("e")))
     return F.when(text.rlike(pattern), found).otherwise(F.array().cast(f"array<{SPAN}>"))
 
 
@@ -125,15 +121,8 @@ def joined_to_paths(docs: DataFrame, found: DataFrame, keep: list[str]) -> DataF
 
 def redacted(text: Column, found: Column, mask: str = "[secret]") -> Column:
     """text with each stretch that spans cover replaced by mask."""
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(a: Column, x: Column) -> Column:
-        between = F.substring(text, a["at"] + 1, x["s"] - a["at"])
-        apart = F.struct(x["e"].alias("at"), F.concat(a["out"], between, F.lit(mask)).alias("out"))
-        return F.when(x["s"] >= a["at"], apart).otherwise(F.struct(F.greatest(a["at"], x["e"]).alias("at"), a["out"].alias("out")))
-
-    whole = F.aggregate(found, start, step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
-    return F.when(F.size(found) == 0, text).otherwise(whole)
+    places = F.transform(found, lambda x: F.struct(x["s"].alias("start"), x["e"].alias("end")))
+    return F.when(F.size(found) == 0, text).otherwise(S.splice(text, S.covered(places), lambda x: F.lit(mask)))
 
 
 def ledger_path(spark: SparkSession) -> str:
