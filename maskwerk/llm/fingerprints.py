@@ -1,10 +1,12 @@
 """Document fingerprints: a Merkle tree over sections, paragraphs and pieces of up to four words.
 
 Sections end at blank lines, paragraphs at line feeds; each keeps its white space, so that a root stands
-for every character. A node's digest is the digest of its children's. The fingerprint spells the tree:
-root/section:piece piece ...,piece ...;section:... with paragraphs between commas. Roots test equality;
-where they differ, the branches that differ locate the edit; the likeness of two fingerprints is the Dice
-coefficient of their sets of pieces. All is DataFrame expressions.
+for every character. A node's digest is the digest of its children's. The root (whole_root) is made of full
+digests, so that equal roots mean equal texts. The fingerprint spells a tree of shortened ones:
+root/section:piece piece ...,piece ...;section:... with paragraphs between commas. Where two differ, the
+branches that differ locate the edit; the likeness of two fingerprints is the Dice coefficient of their sets
+of pieces. Pieces are spelled with DIGITS hex digits, so that two texts that differ in one piece have one
+spelling with a chance of one in 16.8 million: compare whole_root for equality. All is DataFrame expressions.
 
 Defined results: a null text is empty, its fingerprint that of the empty text, with likeness 1 to another
 empty one and 0 to the rest; documents follow each other by doc_id, nulls last, ties by text; a single
@@ -46,6 +48,14 @@ def spelled(tree: Column) -> Column:
     return F.concat(F.sha2(F.array_join(nodes, ";"), 256), F.lit("/"), body)
 
 
+def whole_root(text: Column) -> Column:
+    """The root of the tree with full digests: SHA-256 of the sections' digests, which are of the paragraphs', which are of the pieces'."""
+    joined = lambda children: F.sha2(F.array_join(children, ""), 256)
+    piece = lambda p: F.transform(F.regexp_extract_all(p, F.lit(PIECE), F.lit(0)), lambda x: F.sha2(x, 256))
+    section = lambda s: joined(F.transform(F.split(s, r"(?<=\n)", -1), lambda p: joined(piece(p))))
+    return joined(F.transform(F.split(F.coalesce(text.cast("string"), F.lit("")), r"(?<=\n\n)", -1), section))
+
+
 def root(fingerprint: Column) -> Column:
     return F.substring_index(fingerprint, "/", 1)
 
@@ -61,8 +71,8 @@ def _leaves(tree: str) -> Column:
 
 
 def fingerprinted(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with fingerprint and leaves (distinct digests of pieces)."""
-    out = docs.withColumn("_tree", pieces(F.coalesce(F.col(text).cast("string"), F.lit(""))))
+    """docs with fingerprint, leaves (distinct digests of pieces) and merkle_root (full digests)."""
+    out = docs.withColumn("merkle_root", whole_root(F.col(text))).withColumn("_tree", pieces(F.coalesce(F.col(text).cast("string"), F.lit(""))))
     return out.withColumns({"fingerprint": spelled(F.col("_tree")), "leaves": _leaves("_tree")}).drop("_tree")
 
 

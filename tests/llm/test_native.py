@@ -181,6 +181,42 @@ def test_changes_are_located(spark):
     assert [tuple(x) for x in r["c"]] == [(1, 1)] and not r["same"]
 
 
+def test_full_roots_tell_texts_apart_that_spell_the_same(spark):
+    given = spark.createDataFrame([("word2809",), ("word3515",), ("word2809",), ("",), (None,), ("a\n\nb",), ("a\n\nb ",)], "text string")
+    rows = fingerprints.fingerprinted(given).collect()
+    spelled, roots = {r["text"]: r["fingerprint"] for r in rows}, {r["text"]: r["merkle_root"] for r in rows}
+    assert spelled["word2809"] == spelled["word3515"] and roots["word2809"] != roots["word3515"]
+    assert len({r["merkle_root"] for r in rows}) == 5 and rows[0]["merkle_root"] == rows[2]["merkle_root"] and roots[""] == roots[None]
+    digest = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    assert roots["a\n\nb"] == digest(digest(digest(digest("a\n")) + digest(digest("\n")) + digest("")) + digest(digest(digest("b"))))
+
+
+def test_secret_spans_are_linear(spark):
+    import time
+
+    took = []
+    for n in (2_000, 2_000, 40_000):
+        text, started = " ".join(f"{i:016x}" for i in range(n)), time.monotonic()
+        found = secrets.scanned(spark.createDataFrame([(1, text)], "doc_id long, text string"), ["doc_id", "text"])
+        out = found.select(F.size("found").alias("n"), F.length(secrets.redacted(F.col("text"), F.col("found"))).alias("m")).first()
+        assert tuple(out) == (n, n * 8 + n - 1)
+        took.append(time.monotonic() - started)
+    assert took[2] < 12 * took[1] + 5, took
+
+
+def test_a_failed_scan_leaves_the_ledger_as_it_was(spark, tmp_path):
+    path = str(tmp_path / "ledger")
+    good = spark.createDataFrame(SECRETS[:3], "doc_id long, text string")
+    secrets.scan_versions(good, path)
+    before = spark.read.parquet(path).count()
+    more = spark.createDataFrame(SECRETS, "doc_id long, text string")
+    bad = more.withColumn("text", F.when(F.col("doc_id") == 9, F.raise_error(F.lit("executor lost"))).otherwise(F.col("text")))
+    with pytest.raises(Exception, match="executor lost"):
+        secrets.scan_versions(bad, path)
+    assert spark.read.parquet(path).count() == before
+    assert secrets.by_blob(secrets.scan_versions(more, path)).count() == sum(bool(base_spans(t or "")) for _, t in SECRETS)
+
+
 def dice_matches(text):
     out = {}
     parts = {*text.split("\n"), *re.split(r"\n[ \t\r]*\n", text), text}
