@@ -7,14 +7,19 @@ formula of w, so any task can say where a queue's token lies, and deficits need
 partition to partition. When a queue runs empty, the others go on by their weights: a new phase. Windows
 hold 64 sequences; what a window serves is cut every `length` tokens.
 
+Target proportions are given by source, or come from the sources' tokens: their share to the power `temper`
+(1: those of the corpus; below: small sources more often, until they are used up). A source that is not
+among given weights, or has weight 0, comes when all with a weight are used up, in proportion to its tokens.
+
 Defined results: a null text is empty and gives just the end id; null sources are a queue of their own;
 repeated rows each get their own pieces; an empty table gives no rows; only doc_id, source and text are
-read. A special token that a text quotes, like <|endoftext|>, is taken as plain text (encode_special_tokens),
-so that no text can end a document; the library's default gives its id instead.
+read. A special token that a text quotes, like <|endoftext|>, is taken as plain text, so that no text can end
+a document; with quoted_special it gets its id, as by the library's default, which op3_packing has to match.
 """
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 from fractions import Fraction
@@ -32,8 +37,10 @@ LENGTH = 2048
 #: Sequences in a window.
 SEQUENCES = 64
 END_ID = 1
-#: Queues with a credit of their own; with more sources, hashes of their names share these.
+#: Queues with a credit of their own; with more sources than half of that, hashes of the names without a weight share these.
 QUEUES = 4096
+#: Power of the sources' shares in op3_packing.
+TEMPER = 0.7
 #: Documents of one queue that are cut in one go, about.
 RUN = 1000
 #: Words that a worker keeps, about 150 bytes each; beyond that it starts anew.
@@ -50,10 +57,13 @@ class WordTokenizer(Resting):
     tokens that end a word. A single comma or full stop behind letters is a match of its own.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, quoted_special: bool = False):
         super().__init__()
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        self.library.encode_special_tokens = not quoted_special
+        special = [t.content for t in self.library.get_added_tokens_decoder().values()] if quoted_special else []
+        # Special tokens count in the case in which they are written.
+        self.special = re.compile("|".join(map(re.escape, special))) if special else None
         vocab = self.library.get_vocab()
         self.kind = np.dtype("<u2") if len(vocab) <= 1 << 16 else np.dtype("<u4")
         suffix = getattr(self.library.model, "end_of_word_suffix", None)
@@ -93,6 +103,8 @@ class WordTokenizer(Resting):
             known[w] = known[w[:-1]] + known[w[-1]]
 
     def words(self, text: str) -> list[str]:
+        if self.special and self.special.search(text):
+            return text.replace("\n", " ").split(" ")
         try:  # where lower case cannot depend on neighbours or on composition, it is taken before the look-up
             text.encode("latin-1")
             text = text.lower()
@@ -114,23 +126,23 @@ class WordTokenizer(Resting):
         return out
 
 
-_loaded: dict[str, WordTokenizer] = {}
+_loaded: dict[tuple[str, bool], WordTokenizer] = {}
 
 
-def loaded(path: str) -> WordTokenizer:
-    if path not in _loaded:
-        _loaded[path] = WordTokenizer(path)
-    return _loaded[path]
+def loaded(path: str, quoted_special: bool = False) -> WordTokenizer:
+    if (path, quoted_special) not in _loaded:
+        _loaded[path, quoted_special] = WordTokenizer(path, quoted_special)
+    return _loaded[path, quoted_special]
 
 
-def tokenize(docs: DataFrame, tokenizer: str) -> DataFrame:
+def tokenize(docs: DataFrame, tokenizer: str, quoted_special: bool = False) -> DataFrame:
     """doc_id, source, n_tokens (without the end id) and ids (little-endian, 2 bytes each, or 4 for large vocabularies)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        words = loaded(tokenizer)
+        words = loaded(tokenizer, quoted_special)
         with words.awake():
             for batch in batches:
                 for at in range(0, batch.num_rows, 1000):
@@ -152,16 +164,24 @@ class Schedule:
     which floor(amount * w / windows) come before window w. A window holds at most `capacity` tokens.
     """
 
-    def __init__(self, totals: dict[str, int], weights: dict[str, float] | None, capacity: int):
+    def __init__(self, totals: dict[str, int], weights: dict[str, float] | None, capacity: int, temper: float = 1.0):
         self.names = sorted(q for q in totals if totals[q])
-        weight = {q: Fraction(weights[q]) if weights and weights.get(q) else Fraction(totals[q]) for q in self.names}
+        given = weights or {}
+        if any(not (0 <= w < float("inf")) for w in given.values()):
+            raise ValueError("weights are finite and not negative")
+        if capacity <= 2 * len(self.names):
+            raise ValueError(f"a window of {capacity} tokens for {len(self.names)} queues: it must hold more than two of each")
+        first = [q for q in self.names if given.get(q)]
+        whole = sum(totals[q] for q in self.names)
+        own = lambda q: Fraction(totals[q]) if temper == 1 else Fraction((totals[q] / whole) ** temper).limit_denominator(1 << 32) or Fraction(1, 1 << 32)
+        weight = {q: Fraction(given[q]) if given.get(q) else own(q) for q in self.names}
         left = {q: totals[q] for q in self.names}
         self.phases, at, window = [], dict.fromkeys(self.names, 0), 0
-        while active := [q for q in self.names if left[q]]:
+        while active := [q for q in first if left[q]] or [q for q in self.names if left[q]]:
             turns = min(left[q] / weight[q] for q in active)
             amount = {q: min(left[q], max(1, int(turns * weight[q]))) if q in active else 0 for q in self.names}
             # A queue's floor may be one over its mean in any window; room for that keeps every window within its capacity.
-            windows = -(-sum(amount.values()) // (capacity - len(self.names)))
+            windows = -(-sum(amount.values()) // (capacity - len(active)))
             amounts, starts = (np.array([x[q] for q in self.names], np.int64) for x in (amount, at))
             self.phases.append((window, windows, starts, amounts))
             window += windows
@@ -195,18 +215,19 @@ class Schedule:
                 start += n
 
 
-def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, sequences: int = SEQUENCES, end_id: int = END_ID, weights: dict[str, float] | None = None, queues: int = QUEUES) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, sequences: int = SEQUENCES, end_id: int = END_ID, weights: dict[str, float] | None = None, queues: int = QUEUES, temper: float = 1.0, quoted_special: bool = False) -> DataFrame:
     """Pieces: doc_id, source, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids (binary, 4 bytes each).
 
-    weights: target proportions by source; without, those of the corpus. The totals by queue go to the
-    driver; there are `queues` of them at most.
+    weights: target proportions by source, for `queues` / 2 of them at most; without, the shares of the corpus
+    to the power temper. The totals by queue go to the driver; there are `queues` of them at most.
     """
-    tokens = written(tokenize(docs, tokenizer), "tokens")
+    if weights and len(weights) > queues // 2:
+        raise ValueError(f"target proportions for more than {queues // 2} sources")
+    tokens = written(tokenize(docs, tokenizer, quoted_special), "tokens")
     name = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("null"))
-    if tokens.agg(F.approx_count_distinct("source")).first()[0] > queues // 2:
-        if weights:
-            raise ValueError(f"target proportions for more than {queues // 2} sources")
-        name = F.concat(F.lit("h"), F.pmod(F.xxhash64("source"), F.lit(queues)).cast("string"))
+    if tokens.select("source").distinct().limit(queues // 2 + 1).count() > queues // 2:
+        hashed = F.concat(F.lit("h"), F.pmod(F.xxhash64("source"), F.lit(queues // 2)).cast("string"))
+        name = F.when(F.col("source").isin(*weights), name).otherwise(hashed) if weights else hashed
     tokens = tokens.withColumn("queue", name)
     # A row for each queue, `queues` at most: how many runs its documents are split into.
     runs = tokens.groupBy("queue").agg(F.ceil(F.count("*") / RUN).cast("int").alias("runs"))
@@ -215,7 +236,7 @@ def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, sequences: int =
     before = F.coalesce(F.sum("n").over(Window.partitionBy("queue").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = sums.select(F.col("queue").alias("q_"), F.col("run").alias("r_"), before.alias("before"))
     totals = {r["queue"]: r["n"] for r in sums.groupBy("queue").agg(F.sum("n").alias("n")).collect()}
-    schedule = Schedule(totals, weights and {f"s{k}": v for k, v in weights.items()}, sequences * length)
+    schedule = Schedule(totals, weights and {f"s{k}": v for k, v in weights.items()}, sequences * length, temper)
     wide = loaded(tokenizer).kind.itemsize == 4
 
     def cut(key, left: Iterator[pa.RecordBatch], right: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -245,4 +266,4 @@ def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, sequences: int =
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return pack(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json")).drop("ids")
+    return pack(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), temper=TEMPER, quoted_special=True).drop("ids")

@@ -79,6 +79,108 @@ def test_mixture_holds_in_every_window():
     assert sum(n for n, _, _ in parts) == 500_001
 
 
+SPECIAL = ["a <|endoftext|> b", "x<|endoftext|>y", "<|ENDOFTEXT|> A <|startoftext|>B\n<|endoftext|><|endoftext|>", "<|endoftext", "plain Text, it's 12.", "", None, "<|endoftext|>", "Ünï <|endoftext|> İK"]
+
+
+def test_query_has_the_ids_of_the_plain_library(spark, monkeypatch):
+    given = spark.createDataFrame([(i, t, "a") for i, t in enumerate(SPECIAL)], "doc_id long, text string, source string")
+    monkeypatch.setattr(packing, "documents", lambda s, d: given)
+    library = Tokenizer.from_file(WORD)
+    for r in packing.op3_packing(spark, "").collect():
+        ids = np.array([*library.encode(SPECIAL[r["doc_id"]] or "", add_special_tokens=False).ids, 1], "<u4")
+        assert (r["start"], r["length"], r["doc_tokens"], r["ids_crc32"]) == (0, len(ids), len(ids), zlib.crc32(ids.tobytes())), SPECIAL[r["doc_id"]]
+
+
+def shares(plan):
+    """Tokens by window and queue, place by place."""
+    out = defaultdict(Counter)
+    for name in plan.names:
+        total = sum(int(a[plan.names.index(name)]) for *_, a in plan.phases)
+        for n, window, _ in plan.places(name, 0, total):
+            out[window][name] += n
+    return out
+
+
+def test_target_proportions_by_window():
+    """Deficit round-robin served token by token gives the same shares, to one token, in every window of the first phase."""
+    plan = packing.Schedule({"a": 30_000, "b": 90_000, "c": 50_000}, {"a": 1.0, "b": 2.0}, 1000)
+    got = shares(plan)
+    first = plan.phases[0][1]
+    assert first > 8
+    for w in range(first):
+        assert got[w]["c"] == 0 and abs(got[w]["b"] - 2 * got[w]["a"]) <= 2 and 970 <= sum(got[w].values()) <= 1000
+    # A source without a weight, or with weight 0, comes last; all is served once.
+    last_b = max(w for w in got if got[w]["b"])
+    assert min(w for w in got if got[w]["c"]) == last_b + 1
+    assert {q: sum(c[q] for c in got.values()) for q in "abc"} == {"a": 30_000, "b": 90_000, "c": 50_000}
+    zero = shares(packing.Schedule({"a": 5000, "b": 9000}, {"a": 1.0, "b": 0.0}, 1000))
+    assert max(w for w in zero if zero[w]["a"]) < min(w for w in zero if zero[w]["b"])
+
+
+def test_tempered_shares():
+    plan = packing.Schedule({"a": 10_000, "b": 1_000_000}, None, 10_000, 0.5)
+    got = shares(plan)
+    assert abs(got[0]["b"] / got[0]["a"] - 10) < 0.1 and sum(got[0].values()) <= 10_000
+
+
+@pytest.mark.parametrize(("totals", "weights", "capacity"), [({"a": 5}, {"a": -1.0}, 100), ({"a": 5}, {"a": float("nan")}, 100), ({str(i): 9 for i in range(40)}, None, 32)])
+def test_impossible_schedules(totals, weights, capacity):
+    with pytest.raises(ValueError):
+        packing.Schedule(totals, weights, capacity)
+
+
+def test_more_sources_than_queues(spark):
+    given = spark.createDataFrame([(i, f"word{i} text", f"s{i % 30}") for i in range(90)], "doc_id long, text string, source string")
+    for weights in (None, {"s1": 1.0, "s2": 2.0}):
+        out = packing.pack(given, WORD, length=64, sequences=8, weights=weights, queues=16).collect()
+        assert {r["doc_id"] for r in out} == set(range(90)) and sum(r["length"] for r in out) == sum(r["doc_tokens"] for r in out if r["start"] == 0)
+        if weights:
+            of = lambda s: [r["sequence_id"] // 8 * 512 + r["sequence_id"] % 8 * 64 + r["offset"] for r in out if (r["source"] in weights) == s]
+            assert max(of(True)) < min(of(False))
+
+
+def test_shards_by_brute_force(spark):
+    """Shard, order and slot again in plain Python, from Spark's hashes of ids."""
+    import zlib as z
+
+    from pyspark.sql import functions as F
+
+    texts = [(i, f"text {i}" * (i % 7)) for i in range(300)]
+    given = spark.createDataFrame(texts, "doc_id long, text string")
+    scores = {r["doc_id"]: r["h"] for r in given.select("doc_id", F.array(*[F.xxhash64("doc_id", F.lit(s)) for s in range(6)]).alias("h")).collect()}
+    total = sum(len(t) + 16 for _, t in texts)
+    buckets = -(-total // (5 * 400))
+    salt = given.select("doc_id", F.pmod(F.xxhash64(F.lit(17), "doc_id", F.crc32(F.col("text").cast("binary")), (F.octet_length("text") + 16).cast("long")), F.lit(buckets)).alias("b"))
+    bucket = {r["doc_id"]: r["b"] for r in salt.collect()}
+    groups = defaultdict(list)
+    for i, t in texts:
+        groups[max(range(5), key=lambda s: (scores[i][s], -s)), bucket[i]].append((i, z.crc32(t.encode()), len(t) + 16))
+    want, at = {}, Counter()
+    for shard, b in sorted(groups):
+        rows, rng = sorted(groups[shard, b]), np.random.Generator(np.random.PCG64([17, shard, b]))
+        order = np.arange(len(rows))
+        rng.shuffle(order)
+        for k in order:
+            want[rows[k][0]] = (shard, at[shard], shard if max(scores[rows[k][0]][:5]) >= scores[rows[k][0]][5] else 5)
+            at[shard] += 1
+    got = {r["doc_id"]: (r["shard"], r["slot"], r["grown_shard"]) for r in sharding.shard(given, shards=5, bucket_bytes=400).collect()}
+    assert got == want
+
+
+def test_buckets_are_shuffled_uniformly():
+    """Each place of a bucket is as likely for each row: chi-squared over many seeds."""
+    import pyarrow as pa
+
+    n, rounds = 8, 4000
+    counts = np.zeros((n, n))
+    for seed in range(rounds):
+        table = pa.table({"shard": pa.array([0] * n, pa.int32()), "bucket": pa.array([0] * n, pa.int32()), "doc_id": pa.array(range(n))})
+        out = sharding._shuffler(seed, ["doc_id"])(table)
+        counts[out["doc_id"].to_numpy(), out["place"].to_numpy()] += 1
+    chi = ((counts - rounds / n) ** 2 / (rounds / n)).sum()
+    assert chi < 110  # 49 degrees of freedom: beyond this once in a million
+
+
 @pytest.mark.parametrize("which", ["docs", "crowd", "none", "sample"])
 def test_sentencepiece(which, request):
     given = request.getfixturevalue(which)
