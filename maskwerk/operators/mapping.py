@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Sequence
+from datetime import UTC, datetime
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -22,6 +23,7 @@ from maskwerk.operators.recognizers import Recognizer, detect
 from maskwerk.plans.tables import written
 
 PLACEHOLDER = "<[A-Z_]+_[0-9]{3,}>"
+STORED = "placeholder string, category string, normal_ct binary, original_ct binary, normal_hmac string, use_count long, first_seen string, last_used string"
 MAPPING = "placeholder string, category string, normal string, original string, use_count long"
 #: Entities of one range of documents, about, in which they are numbered; the number of ranges follows from the data.
 RANGE_ROWS = 200_000
@@ -221,21 +223,46 @@ class Store:
             return []
         return sorted(s.getPath().getName() for s in fs.listStatus(fs_path) if fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS")))
 
-    def load(self) -> DataFrame | None:
+    def stored(self) -> DataFrame | None:
+        """The last version as it is stored: STORED, with ciphertexts, digests and times."""
         versions = self._versions()
-        if not versions:
-            return None
+        return self.spark.read.schema(STORED).parquet(f"{self.path}/{versions[-1]}") if versions else None
+
+    def _plain(self, rows: DataFrame, *more: str) -> DataFrame:
         key = X.held(self.key)
         plain = lambda c: F.aes_decrypt(F.col(c), key(F.col(c))).cast("string")
-        return self.spark.read.parquet(f"{self.path}/{versions[-1]}").select("placeholder", "category", plain("normal_ct").alias("normal"), plain("original_ct").alias("original"), "use_count")
+        return rows.select("placeholder", "category", plain("normal_ct").alias("normal"), plain("original_ct").alias("original"), "use_count", *more)
+
+    def load(self) -> DataFrame | None:
+        rows = self.stored()
+        return None if rows is None else self._plain(rows)
+
+    def dated(self) -> DataFrame | None:
+        """The mapping with first_seen and last_used (UTC, ISO 8601)."""
+        rows = self.stored()
+        return None if rows is None else self._plain(rows, "first_seen", "last_used")
 
     def save(self, table: DataFrame) -> None:
-        """Writes the next version; a run that fails leaves the last one as it is."""
-        key = X.held(self.key)
+        """Writes the next version; a run that fails leaves the last one as it is.
+
+        A mapping that is new was first seen now; one whose use count has changed was last used now.
+        """
+        key, now, last = X.held(self.key), F.lit(datetime.now(UTC).isoformat(timespec="seconds")), self.stored()
         hidden = lambda c: F.aes_encrypt(F.col(c), key(F.col(c)))
-        out = table.select("placeholder", "category", hidden("normal").alias("normal_ct"), hidden("original").alias("original_ct"), X.hmac_sha256(F.col("normal"), self.digest_key).alias("normal_hmac"), "use_count")
+        if last is None:
+            table = table.withColumns({"first_seen": now, "last_used": now})
+        else:
+            before = last.select(F.col("placeholder").alias("p_"), F.col("use_count").alias("n_"), F.col("first_seen").alias("f_"), F.col("last_used").alias("l_"))
+            table = table.join(before, F.col("placeholder") == F.col("p_"), "left")
+            table = table.withColumns({"first_seen": F.coalesce("f_", now), "last_used": F.when(F.col("use_count") == F.col("n_"), F.col("l_")).otherwise(now)})
+        out = table.select("placeholder", "category", hidden("normal").alias("normal_ct"), hidden("original").alias("original_ct"), X.hmac_sha256(F.col("normal"), self.digest_key).alias("normal_hmac"), "use_count", "first_seen", "last_used")
         out.write.parquet(f"{self.path}/{len(self._versions()):08d}-{uuid.uuid4().hex[:8]}")
 
+    def reset(self) -> None:
+        """Deletes all versions. Placeholders in texts that are about cannot be restored any more."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
 
 def lookup(table: DataFrame, original: Column | str, category: str, digest_key: bytes) -> DataFrame:
     """Stored rows for a spelling, by keyed digest."""

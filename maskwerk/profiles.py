@@ -8,6 +8,7 @@ from __future__ import annotations
 import base64
 import json
 import re
+from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,7 +37,7 @@ class Profile:
         salt = base64.b64decode(meta["salt"]) if "salt" in meta else new_salt()
         self.keys = Keys.from_password(password, salt, int(meta.get("iterations", iterations)))
         if not meta:
-            self._write_metadata({"name": name, "salt": base64.b64encode(salt).decode(), "iterations": str(iterations), "token": self.keys.token(), "schema_version": "1"})
+            self._write_metadata({"name": name, "salt": base64.b64encode(salt).decode(), "iterations": str(iterations), "token": self.keys.token(), "schema_version": "1", "created": datetime.now(UTC).isoformat(timespec="seconds")})
         elif not self.keys.opens(meta["token"]):
             raise WrongPassword(name)
         self.store = mapping.Store(spark, f"{self.path}/mapping", self.keys.cipher, self.keys.digest)
@@ -93,6 +94,18 @@ class Profile:
         """What would be found; nothing is numbered or stored."""
         return mapping.detected(segments, self.recognizers())
 
+    def details(self) -> dict[str, str | int | None]:
+        """The summary with when the profile was made and when it was last used (UTC)."""
+        dated = self.store.dated()
+        last = dated.agg(F.max("last_used")).first()[0] if dated is not None else None
+        return {"name": self.name, "created": self.metadata().get("created"), "last_used": last, **self.summary()}
+
+    def reset(self) -> None:
+        """Forgets the mapping; the log stays, and says so."""
+        self.store.reset()
+        gone = self.spark.createDataFrame([(0, 0, "")], "doc_id long, seg_no long, text string").withColumn("entity_counts", F.create_map().cast("map<string,int>"))
+        self._append("reset", gone, "text")
+
     def summary(self) -> dict[str, int]:
         table, log = self.store.load(), self.log()
         return {"mappings": table.count() if table is not None else 0, "log_entries": log.count() if log is not None else 0}
