@@ -76,5 +76,18 @@ def entries(log: DataFrame) -> DataFrame:
     return log.orderBy("id")
 
 
+def export_pdf(log: DataFrame, most: int = 100_000) -> bytes:
+    """A PDF of the log for people: a line on the state of the chain, then the entries in order, `most` at most."""
+    from maskwerk.sources.pdf import LINES, written_pdf
+
+    rows = entries(log).select("id", "timestamp_utc", "operation", "entity_counts_json", "this_hash").limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"over {most} entries: use export_csv")
+    state = "The chain is whole." if verify(log) else "THE CHAIN IS BROKEN."
+    lines = [f"{r['id']:>6}  {r['timestamp_utc'][:19]}  {r['operation']:<12} {r['this_hash'][:12]}  {r['entity_counts_json']}" for r in rows]
+    head = ["Audit log", state, f"Entries: {len(rows)}", ""]
+    return written_pdf("\n".join(head + lines[i : i + LINES - 4]) for i in range(0, max(1, len(lines)), LINES - 4))
+
+
 def export_csv(log: DataFrame, path: str) -> None:
     entries(log).write.option("header", True).csv(path)

@@ -65,6 +65,35 @@ def report(by_document: DataFrame) -> DataFrame:
     return ratios(sums.na.fill(0)).withColumns({c: F.round(c, 4) for c in ("precision", "recall", "f1")})
 
 
+def detailed_report(by_document: DataFrame) -> DataFrame:
+    """Ratios by fixture (doc_id), by category, and in total: level says which; names of the other levels are null."""
+    sums = by_document.groupingSets([["doc_id"], ["category"], []], "doc_id", "category").agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn")], F.grouping_id().alias("_level"))
+    level = F.element_at(F.create_map(F.lit(1), F.lit("fixture"), F.lit(2), F.lit("category"), F.lit(3), F.lit("total")), F.col("_level").cast("int"))
+    return ratios(sums.na.fill(0, ["tp", "fp", "fn"])).select(level.alias("level"), "doc_id", "category", "tp", "fp", "fn", *[F.round(c, 4).alias(c) for c in ("precision", "recall", "f1")])
+
+
+def as_markdown(rows: DataFrame, most: int = 1000) -> str:
+    """A table for people, `most` rows at most."""
+    found = rows.limit(most + 1).collect()
+    if len(found) > most:
+        raise ValueError(f"over {most} rows")
+    line = lambda cells: "| " + " | ".join("" if c is None else str(c) for c in cells) + " |"
+    return "\n".join([line(rows.columns), "|" + "-|" * len(rows.columns), *map(line, found)])
+
+
+def negative_control(originals: DataFrame, secrets: DataFrame, column: str = "text") -> DataFrame:
+    """One row: secrets, seen and ok. A leak check that works sees every secret in its original text."""
+    seen = leaks(originals, secrets, column).distinct().count()
+    wanted = secrets.select("doc_id", "category", "value").filter(canonical(F.col("category"), F.col("value")) != "").distinct().count()
+    return secrets.sparkSession.createDataFrame([(wanted, seen, wanted == seen)], "secrets long, seen long, ok boolean")
+
+
+def check_bundle(checks: DataFrame) -> DataFrame:
+    """One row of totals over checks (name, status): passed, failed, skipped, and ok, which is that none failed and one passed."""
+    of = lambda s: F.count(F.when(F.col("status") == s, 1))
+    return checks.agg(of("pass").alias("passed"), of("fail").alias("failed"), of("skip").alias("skipped")).withColumn("ok", (F.col("failed") == 0) & (F.col("passed") > 0))
+
+
 def leaks(documents: DataFrame, secrets: DataFrame, column: str = "anonymized") -> DataFrame:
     """doc_id, category, value of each secret whose canonical form is still in its document's canonical text."""
     rows = secrets.join(documents.select("doc_id", F.col(column).alias("_text")), "doc_id")
@@ -84,6 +113,20 @@ def false_positive_rate(counts: DataFrame) -> DataFrame:
     return counts.groupBy("category").agg(F.sum("tp").alias("tp"), F.sum("fp").alias("fp")).select("category", F.try_divide(F.col("fp").cast("double"), (F.col("tp") + F.col("fp")).cast("double")).alias("fp_rate"))
 
 
+def gap_list(thresholds: DataFrame, scores: DataFrame, false_positives: DataFrame | None = None, most_fp: float = 0.02) -> DataFrame:
+    """All gaps, the worst first: severity, title, category, measured, wanted.
+
+    Gaps of gate_gaps, and categories whose rate of false positives (category, fp_rate) is over most_fp.
+    """
+    f1 = gate_gaps(thresholds, scores)
+    told = F.when(F.col("f1").isNull(), F.concat(F.lit("F1 of "), "category", F.lit(" is not measured"))).otherwise(F.concat(F.lit("F1 of "), "category", F.lit(" is too low")))
+    out = f1.select("severity", told.alias("title"), "category", F.col("f1").alias("measured"), F.col("least").alias("wanted"))
+    if false_positives is not None:
+        over = false_positives.filter(F.col("fp_rate") > most_fp)
+        out = out.unionByName(over.select(F.lit(1).alias("severity"), F.concat(F.lit("False positives of "), "category", F.lit(" are too many")).alias("title"), "category", F.col("fp_rate").alias("measured"), F.lit(most_fp).alias("wanted")))
+    return out.orderBy("severity", "title")
+
+
 def gate_gaps(thresholds: DataFrame, scores: DataFrame) -> DataFrame:
     """Categories whose f1 misses its threshold or is not measured, the worst first.
 
@@ -94,10 +137,19 @@ def gate_gaps(thresholds: DataFrame, scores: DataFrame) -> DataFrame:
     return rows.withColumn("severity", severity).filter("severity is not null").orderBy("severity", "category")
 
 
-def gate_rows(lines: DataFrame) -> DataFrame:
-    """category and least from Markdown table rows '| CATEGORY | >= 0.95 |' (lines: n, value); the first row of a category counts."""
+#: Names of a gate's table that stand for categories of ours.
+ALIASES = {"ORG": "COMPANY", "BIRTHDATE": "DATE", "STEUER_ID": "TAX_ID", "UST_ID": "UID"}
+
+
+def gate_rows(lines: DataFrame, aliases: dict[str, str] | None = None) -> DataFrame:
+    """category and least from Markdown table rows '| CATEGORY | >= 0.95 |' (lines: n, value); the first row of a category counts.
+
+    A category that aliases names goes by what it stands for.
+    """
     pattern = r"^\|\s*\**([A-Z_]+)\**\s*\|[^0-9|]*([01](?:[.,][0-9]+)?)[^|]*\|"
     rows = lines.select("n", F.regexp_extract("value", pattern, 1).alias("category"), F.regexp_replace(F.regexp_extract("value", pattern, 2), ",", ".").alias("least")).filter("category != ''")
+    for name, stands_for in (ALIASES if aliases is None else aliases).items():
+        rows = rows.withColumn("category", F.when(F.col("category") == name, F.lit(stands_for)).otherwise(F.col("category")))
     return rows.groupBy("category").agg(F.min_by("least", "n").cast("double").alias("least"))
 
 

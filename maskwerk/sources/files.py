@@ -1,4 +1,4 @@
-"""Files as text segments, and back: text, CSV, HTML, Word and Excel files.
+"""Files as text segments, and back: text, CSV, HTML, Word, Excel and PDF files.
 
 A segment is doc_id (a path), seg_no, part, row, col and text. Readers are Spark sources; the zipped XML of
 office files is read with the standard library, file by file, in Arrow batches.
@@ -6,6 +6,7 @@ office files is read with the standard library, file by file, in Arrow batches.
 
 from __future__ import annotations
 
+import csv
 import io
 import re
 import zipfile
@@ -16,7 +17,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-TEXT, TABLE, PAGE, WORD, EXCEL = (".txt", ".text", ".log", ".md"), (".csv", ".tsv"), (".html", ".htm"), (".docx",), (".xlsx",)
+from maskwerk.sources.pdf import pages_of, read_pdf, rewritten_pdf
+
+TEXT, TABLE, PAGE, WORD, EXCEL, PDF = (".txt", ".text", ".log", ".md"), (".csv", ".tsv"), (".html", ".htm"), (".docx",), (".xlsx",), (".pdf",)
+SUPPORTED = (*TEXT, *TABLE, *PAGE, *WORD, *EXCEL, *PDF)
 SEGMENT = "doc_id string, part string, seg_no long, row long, col long, text string"
 DELIMITERS = ",;\t|"
 W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
@@ -31,7 +35,7 @@ class UnsupportedFormat(ValueError):
 def reader_for(path: str) -> Callable[[SparkSession, str], DataFrame]:
     """The reader for a path's suffix."""
     suffix = re.search(r"\.[a-z0-9]+$", path.lower())
-    for suffixes, reader in ((TEXT, read_text), (TABLE, read_csv), (PAGE, read_html), (WORD, read_word), (EXCEL, read_excel)):
+    for suffixes, reader in ((TEXT, read_text), (TABLE, read_csv), (PAGE, read_html), (WORD, read_word), (EXCEL, read_excel), (PDF, read_pdf)):
         if suffix and suffix[0] in suffixes:
             return reader
     raise UnsupportedFormat(path)
@@ -238,12 +242,52 @@ def gate_text(path: str, content: bytes) -> str:
     if path.lower().endswith((*WORD, *EXCEL)):
         with zipfile.ZipFile(io.BytesIO(content)) as z:
             return "\n".join(re.sub(r"<[^>]+>", " ", z.read(n).decode("utf-8", "replace")) for n in sorted(z.namelist()) if n.endswith((".xml", ".rels")))
+    return "\n".join(pages_of(content)) if path.lower().endswith(PDF) else decoded(content)
+
+
+def decoded(content: bytes) -> str:
+    """A text file's text: UTF-8, or else Windows-1252."""
     try:
         return content.decode("utf-8-sig")
     except UnicodeDecodeError:
         return content.decode("cp1252", "replace")
 
 
+def rewritten(path: str, content: bytes, change: Callable[[str], str]) -> bytes:
+    """A file of any supported format with change applied to each of its segments; a changed table keeps its delimiter."""
+    name = path.lower()
+    if name.endswith(WORD):
+        return rewritten_word(content, change)
+    if name.endswith(EXCEL):
+        return rewritten_excel(content, change)
+    if name.endswith(PDF):
+        return rewritten_pdf(content, change)
+    text = decoded(content)
+    if name.endswith(TABLE):
+        sep, out = sniffed(text[:4096]), io.StringIO()
+        rows = csv.reader(io.StringIO(text, newline=""), delimiter=sep)
+        csv.writer(out, delimiter=sep, lineterminator="\n").writerows([change(c) if c else c for c in row] for row in rows)
+        return out.getvalue().encode()
+    if name.endswith(PAGE):
+        text = re.sub(DATA_URI, "data:removed", text)
+    if not name.endswith((*TEXT, *PAGE)):
+        raise UnsupportedFormat(path)
+    return change(text).encode()
+
+
+def segments_of(path: str, content: bytes) -> list[str]:
+    """The texts that `rewritten` hands to its change, once each."""
+    found: dict[str, None] = {}
+
+    def seen(text: str) -> str:
+        if text:
+            found[text] = None
+        return text
+
+    rewritten(path, content, seen)
+    return list(found)
+
+
 def gate_texts(spark: SparkSession, path: str) -> DataFrame:
     """doc_id and gate_text of the files of a path."""
 
