@@ -166,6 +166,15 @@ def _lowest(order: np.ndarray, head: np.ndarray, ids: np.ndarray) -> tuple[np.nd
     return label, np.minimum.reduceat(ids[order], np.flatnonzero(head)) if len(order) else np.zeros(0, np.int64)
 
 
+#: Numbers that seven bits tell: 0 to 63, and from there on in steps of 12.8 percent, up to about 126,000.
+COARSE = np.concatenate([np.arange(64), np.floor(64 * 1.128 ** np.arange(64))]).astype(np.int64)
+
+
+def coarse(counts: np.ndarray) -> np.ndarray:
+    """The place in COARSE of the largest number that is not over each count."""
+    return np.minimum(np.searchsorted(COARSE, counts, "right") - 1, 127).astype(np.uint8)
+
+
 class Dedup:
     """The steps over blocks and buckets; what they need to know travels with the object."""
 
@@ -188,7 +197,7 @@ class Dedup:
             np.minimum.at(low, which, runs.id)
             np.maximum.at(high, which, runs.id)
             pairs = np.unique(np.stack([which.astype(U64), runs.content()], 1).view("V16").ravel()).view(U64).reshape(-1, 2)[:, 0]
-            extra = (np.minimum(np.bincount(pairs.astype(np.int64), minlength=len(grams)), 127) * 2 + (low != high)).astype(np.uint8)
+            extra = coarse(np.bincount(pairs.astype(np.int64), minlength=len(grams))) * np.uint8(2) + (low != high).astype(np.uint8)
         return B.asked(block, bucket, self.gram_buckets, grams.astype(np.uint32), extra)
 
     @staticmethod
@@ -201,7 +210,7 @@ class Dedup:
         at = np.flatnonzero(head)
         sizes = np.diff(np.append(at, len(keys)))
         several = (sizes > 1) | (np.maximum.reduceat(extra[order] & 1, at) == 1)
-        hot = np.add.reduceat((extra[order] >> 1).astype(np.int64), at) > HOT
+        hot = np.add.reduceat(COARSE[extra[order] >> 1], at) > HOT
         out = np.empty(len(keys), np.uint8)
         out[order] = np.repeat(several.astype(np.uint8) * (1 + hot.astype(np.uint8)), sizes)
         return [out[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)]

@@ -106,3 +106,9 @@ def test_multikey_sorts():
     order, head = suffixes.multikey(500, 5, lambda r, at: keys[at, r])
     rows = list(map(tuple, keys.tolist()))
     assert [rows[i] for i in order] == sorted(rows) and head.sum() == len(set(rows))
+
+
+def test_coarse_counts():
+    counts = np.array([0, 1, 2, 63, 64, 65, 100, 1000, 50_000, 10**7])
+    told = suffixes.COARSE[suffixes.coarse(counts)]
+    assert (told <= counts).all() and (told[:4] == counts[:4]).all() and (told[:-1] >= counts[:-1] / 1.13).all() and told[-1] > suffixes.HOT
