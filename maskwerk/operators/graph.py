@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from maskwerk.plans.tables import checkpointed
 
+#: Edges (16 bytes each) that one task may hold.
+FEW = 500_000
+
 
 def forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Edges (node, least node of its component) of the graph of edges (u, v), without loops."""
@@ -37,15 +43,26 @@ def forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[other], nodes[label[other]]
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """node and root (the least node of its component) for all nodes of edges (u, v).
+def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """node and root of all edges that come."""
+    parts = [(b["u"].to_numpy(), b["v"].to_numpy()) for b in batches]
+    u, v = (np.concatenate([*x, np.zeros(0, np.int64)]) for x in (zip(*parts, strict=True) if parts else ((), ())))
+    node, root = forest(u, v)
+    tops = np.unique(root)
+    yield pa.RecordBatch.from_pydict({"node": pa.array(np.concatenate([node, tops]), pa.int64()), "root": pa.array(np.concatenate([root, tops]), pa.int64())})
+
+
+def components(edges: DataFrame, few: int = FEW) -> DataFrame:
+    """node and root (the least node of its component) for all nodes of edges (u, v), which are longs.
 
-    Large-star and small-star rounds: each node hangs its larger, then its smaller neighbours on the least
+    Up to `few` edges, which are counted, are one task. More go through large-star and small-star rounds: each node hangs its larger, then its smaller neighbours on the least
     neighbour it knows. Rounds grow with the logarithm of a component's width; nodes with very many
     neighbours are summed to a least one before the shuffle.
     """
     loops = F.col("u") != F.col("v")
     edges = checkpointed(edges.filter(loops).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    if edges.limit(few + 1).count() <= few:
+        return edges.coalesce(1).mapInArrow(_whole, "node long, root long")
     state = None
     while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))

@@ -1,9 +1,9 @@
 """An arena of made-up documents: templates x modes x countries, with every secret that was put in.
 
 A template is a text with slots {CATEGORY}; values come from integer keys by arithmetic and valid check digits,
-so that any number of documents is one expression over a range of ids. Modes are ways in which texts arrive:
-clean; shouting salutations aside, in capitals where a name is not; reflowed, with line feeds for some spaces;
-spaced, with doubled spaces. Rendering gives texts and the places of their slots.
+so that any number of documents is a few expressions over a range of ids. Modes are ways in which texts arrive:
+clean; reflowed, with line feeds for some spaces; spaced, with two spaces behind full stops; as a list. Rendering
+gives texts and the places of their slots.
 """
 
 from __future__ import annotations

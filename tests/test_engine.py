@@ -200,3 +200,24 @@ def test_rate_limit(spark, n):
     rows = [(f"c{k}", float(t)) for k in range(n) for t in (0, 0, 0, 1, 100)]
     got = folder.allowed(spark.createDataFrame(rows, "client string, at double"), burst=2, rate=1.0).orderBy("client", "at").collect()
     assert [r["allowed"] for r in got[:5]].count(False) == 1 and len(got) == 5 * n
+
+
+@pytest.mark.parametrize("few", [0, 1000])
+def test_components_in_rounds_and_in_one_task(spark, few):
+    from maskwerk.operators import graph
+
+    rng = random.Random(few)
+    pairs = [(rng.randrange(300), rng.randrange(300)) for _ in range(170)] + [(5, 5)]
+    label = {n: n for p in pairs for n in p if p[0] != p[1]}
+
+    def root(n):
+        while label[n] != n:
+            n = label[n]
+        return n
+
+    for a, b in pairs:
+        if a != b:
+            label[max(root(a), root(b))] = min(root(a), root(b))
+    got = {r["node"]: r["root"] for r in graph.components(spark.createDataFrame(pairs, "u long, v long"), few).collect()}
+    assert got == {n: root(n) for n in label}
+    assert graph.components(spark.createDataFrame([], "u long, v long"), few).count() == 0
