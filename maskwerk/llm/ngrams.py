@@ -11,8 +11,10 @@ gives each document its component.
 3. In a cluster rows of the incidence matrix are multiplied, block by block, with the columns that are
    not in a component yet: overlaps are accumulated, pairs below the bound of their sizes discarded, and
    what links leaves the columns. A group of near copies thus costs about one product with its first
-   members, not one with all. Clusters of over CLUSTER n-grams are dealt into blocks, and each pair of
-   blocks is a task.
+   members, not one with all. A cluster of over SPREAD n-grams is no single task: all its classes, dealt out
+   evenly, are held against a few of them (PIVOTS), and the largest component that this makes needs no
+   comparison in itself any more. What is left of the cluster is compared with all of it, in blocks that grow
+   with it, up to CLUSTER n-grams.
 4. Components over the links found are labelled with their smallest doc_id.
 
 Sets are held as 64-bit hashes of n-grams, classes as 64-bit hashes of sets.
@@ -34,14 +36,16 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from maskwerk.llm import blocks as B
-from maskwerk.llm.common import BLOCK_BYTES, documents, text_bytes, written
+from maskwerk.llm.common import BLOCK_BYTES, checkpointed, documents, text_bytes, written
 from maskwerk.operators.graph import components, forest
 
 U64 = np.uint64
 #: Bytes that are hashed at once.
 CHUNK = 1 << 20
-#: N-grams, over all classes, of a block of a cluster; a task compares one block or two.
+#: N-grams, over all classes, of the largest block of a cluster; a task compares two blocks.
 CLUSTER = 2_500_000
+#: N-grams from which on a cluster is dealt out, and how many of its classes all are first held against.
+SPREAD, PIVOTS = 100_000, 4
 #: Postings that a task sums up at once.
 POSTINGS = 400_000
 #: Rows of a block in the product, and overlaps that it accumulates at once.
@@ -215,10 +219,27 @@ class Join:
         u, v = forest(a, b)
         return pa.table({"u": pa.array(u), "v": pa.array(v)})
 
-    def linked(self, nodes: np.ndarray, sizes: np.ndarray, sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        """Links (u, v) that make the components of a cluster's classes."""
+    def to_pivots(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Links (cluster, u, v) of classes with their cluster's pivots."""
+        for batch in batches:
+            out: list[tuple[int, int, int]] = []
+            pivots = batch["pivots"].to_pylist()
+            for cluster, node, size, raw, some in zip(*(batch[c].to_pylist() for c in ("cluster", "node", "n_shingles", "tokens")), pivots, strict=True):
+                own = np.frombuffer(raw, U64)
+                for p in some:
+                    other = p["p_size"]
+                    if p["p_node"] != node and self.den * min(size, other) >= self.num * max(size, other):
+                        overlap = len(np.intersect1d(own, np.frombuffer(p["p_tokens"], U64), assume_unique=True))
+                        if (self.den + self.num) * overlap >= self.num * (size + other):
+                            out.append((cluster, node, p["p_node"]))
+            columns = list(zip(*out, strict=True)) or [(), (), ()]
+            yield pa.RecordBatch.from_pydict({c: pa.array(x, pa.int64()) for c, x in zip(("cluster", "u", "v"), columns, strict=True)})
+
+    def linked(self, nodes: np.ndarray, sizes: np.ndarray, sets: list[np.ndarray], main: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Links (u, v) that make the components of a cluster's classes; those of main are known to be one already."""
+        main = np.zeros(len(nodes), bool) if main is None else main
         order = np.argsort(sizes, kind="stable")
-        nodes, sizes, sets = nodes[order], sizes[order], [sets[i] for i in order]
+        nodes, sizes, sets, main = nodes[order], sizes[order], [sets[i] for i in order], main[order]
         m = len(nodes)
         tokens, which, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
         doc = np.repeat(np.arange(m), [len(s) for s in sets])
@@ -229,12 +250,10 @@ class Join:
         out: list[tuple[int, int]] = []
         live, built = None, 0
         left = m
-        for seed in range(m):
-            if not free[seed]:
-                continue
-            free[seed] = False
-            left -= 1
-            front = [seed]
+        for seeds in (np.flatnonzero(main).tolist(), *([i] for i in range(m))):
+            front = [i for i in seeds if free[i]]
+            free[front] = False
+            left -= len(front)
             while front and left:
                 if live is None or left * 2 < built:
                     # Columns: classes in no component yet, by token.
@@ -274,17 +293,50 @@ class Join:
         return pairs[:, 0], pairs[:, 1]
 
     def links(self, table: pa.Table) -> pa.Table:
-        """Links within each cluster of a task; a task holds whole clusters, or two blocks of one."""
+        """Links within each cluster of a task; a task holds whole clusters, or two blocks of one, which may share classes."""
         table = table.sort_by([("cluster", "ascending"), ("node", "ascending")])
-        cluster, nodes, sizes = (table[c].to_numpy() for c in ("cluster", "node", "n_shingles"))
+        cluster, nodes = (table[c].to_numpy() for c in ("cluster", "node"))
+        once = np.append(True, (cluster[1:] != cluster[:-1]) | (nodes[1:] != nodes[:-1]))
+        table, cluster, nodes = table.filter(pa.array(once)), cluster[once], nodes[once]
+        sizes, main = (table[c].to_numpy() for c in ("n_shingles", "main"))
         sets = [np.frombuffer(x, U64) for x in table["tokens"].to_pylist()]
         edges = np.flatnonzero(np.append(True, cluster[1:] != cluster[:-1]))
-        found = [self.linked(nodes[a:b], sizes[a:b], sets[a:b]) for a, b in zip(edges, [*edges[1:], len(cluster)], strict=True) if b > a + 1]
+        found = [self.linked(nodes[a:b], sizes[a:b], sets[a:b], main[a:b]) for a, b in zip(edges, [*edges[1:], len(cluster)], strict=True) if b > a + 1]
         u, v = (np.concatenate([*x, np.zeros(0, np.int64)]) for x in (zip(*found, strict=True) if found else ((), ())))
         return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
 
-def _joined(docs: DataFrame, n: int, num: int, den: int, block_bytes: int, cluster: int, keep: list[str]) -> tuple[DataFrame, DataFrame]:
+def _spread(steps: Join, big: DataFrame, spread: int, cluster: int, pivots: int = PIVOTS) -> tuple[DataFrame, DataFrame]:
+    """Links found through pivots, and the tasks (node, n_shingles, tokens, cluster, main, task) for what is left, of large clusters.
+
+    big: node, n_shingles, tokens, cluster, size (n-grams of the cluster).
+    """
+    big = big.withColumn("parts", F.ceil(F.col("size") / spread).cast("int"))
+    first = Window.partitionBy("cluster").orderBy(F.xxhash64("node"))
+    chosen = big.withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= pivots)
+    # A few rows of each large cluster, once for each of its parts.
+    table = chosen.groupBy("cluster", "parts").agg(F.collect_list(F.struct(F.col("node").alias("p_node"), F.col("n_shingles").alias("p_size"), F.col("tokens").alias("p_tokens"))).alias("pivots"))
+    table = table.select(F.col("cluster").alias("c_"), "pivots", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("s_"))
+    salted = big.withColumn("salt", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    met = salted.join(table, (F.col("cluster") == F.col("c_")) & (F.col("salt") == F.col("s_"))).select("cluster", "node", "n_shingles", "tokens", "pivots")
+    found = written(met.mapInArrow(steps.to_pivots, "cluster long, u long, v long"), "pivots")
+    roots = components(found.select("u", "v")).select(F.col("node").alias("n_"), F.col("root").alias("r_"))
+    sized = big.select("node", "cluster").join(roots, F.col("node") == F.col("n_")).groupBy("cluster", "r_").agg(F.count("*").alias("n"))
+    largest = sized.groupBy("cluster").agg(F.max_by("r_", F.struct("n", "r_")).alias("m_")).select(F.col("cluster").alias("c_"), "m_")
+    rows = big.join(roots, F.col("node") == F.col("n_"), "left").join(largest, F.col("cluster") == F.col("c_"), "left")
+    rows = written(rows.withColumn("main", F.coalesce(F.col("r_") == F.col("m_"), F.lit(False))).select("node", "n_shingles", "tokens", "cluster", "size", "main"), "spread")
+    # What is left, in n-grams, by cluster; blocks of rows are as large as that, within bounds, so that neither side is sent often.
+    rest = rows.filter("not main").groupBy(F.col("cluster").alias("c_")).agg(F.sum(F.octet_length("tokens") / 8).alias("rest"))
+    rows = rows.join(rest, F.col("cluster") == F.col("c_"))
+    rows = rows.withColumns({"m": F.ceil(F.col("size") / F.greatest(F.lit(spread), F.least("rest", F.lit(cluster)))).cast("int"), "r": F.greatest(F.ceil(F.col("rest") / cluster), F.lit(1)).cast("int")})
+    as_row = rows.withColumn("i", F.pmod(F.xxhash64("node"), F.col("m")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("r") - 1)))
+    as_rest = rows.filter("not main").withColumn("j", F.pmod(F.xxhash64("node"), F.col("r")).cast("int")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
+    names = ["node", "n_shingles", "tokens", "cluster", "main", "i", "j"]
+    tasks = as_row.select(*names).unionByName(as_rest.select(*names))
+    return found.select("u", "v"), tasks.select("node", "n_shingles", "tokens", "cluster", "main", F.xxhash64("cluster", "i", "j").alias("task"))
+
+
+def _joined(docs: DataFrame, n: int, num: int, den: int, block_bytes: int, cluster: int, keep: list[str], spread: int = SPREAD) -> tuple[DataFrame, DataFrame]:
     """Rows (doc_id, n_shingles, node, the columns of keep) and, by node, labels (root, component)."""
     total = int(docs.agg(F.sum(text_bytes())).first()[0] or 0)
     blocks = max(16, -(-total // block_bytes))
@@ -300,14 +352,16 @@ def _joined(docs: DataFrame, n: int, num: int, den: int, block_bytes: int, clust
     clusters = components(posted.groupBy("bucket").applyInArrow(steps.edges, "u long, v long"))
     weights = classes.select(F.col("node").alias("w_"), (F.octet_length("tokens") / 8).alias("weight"))
     sizes = clusters.join(weights, F.col("node") == F.col("w_")).groupBy("root").agg(F.sum("weight").alias("size"))
-    placed = clusters.join(sizes, "root").select("node", F.col("root").alias("cluster"), F.ceil(F.col("size") / cluster).cast("int").alias("parts"))
-    wide = classes.join(placed, "node").select("node", "n_shingles", "tokens", "cluster", "parts")
-    own = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
-    # Pairs of blocks: with one block, just (0, 0) in a task with other clusters.
-    wide = wide.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    task = F.when(F.col("parts") == 1, F.pmod(F.xxhash64("cluster"), F.lit(8 * blocks))).otherwise(F.xxhash64("cluster", F.least("own", "other"), F.greatest("own", "other")))
-    tasks = wide.select("node", "n_shingles", "tokens", "cluster", task.alias("task"))
-    links = tasks.groupBy("task").applyInArrow(lambda t: steps.links(t), "u long, v long")
+    # Rows of a few numbers, once for both kinds of clusters.
+    placed = checkpointed(clusters.join(sizes, "root").select("node", F.col("root").alias("cluster"), "size"))
+    spread = min(spread, cluster)
+    wide = classes.join(placed, "node").select("node", "n_shingles", "tokens", "cluster", "size")
+    small = wide.filter(F.col("size") <= spread).withColumn("main", F.lit(False)).select("node", "n_shingles", "tokens", "cluster", "main", F.pmod(F.xxhash64("cluster"), F.lit(8 * blocks)).alias("task"))
+    compared = lambda tasks: tasks.groupBy("task").applyInArrow(lambda t: steps.links(t), "u long, v long")
+    links = compared(small)
+    if not placed.filter(F.col("size") > spread).isEmpty():
+        found, tasks = _spread(steps, wide.filter(F.col("size") > spread), spread, cluster)
+        links = links.union(found).union(compared(tasks))
     parts = components(links)
     named = parts.join(classes.select("node", "lowest"), "node").groupBy("root").agg(F.min("lowest").alias("component"))
     alone = classes.select("node", "lowest").join(parts, "node", "left").join(named, "root", "left")

@@ -75,6 +75,25 @@ def test_families(spark, seed):
     check(spark, rows, n=2, num=60, cluster=300)
 
 
+@pytest.mark.parametrize("seed", range(2))
+def test_large_clusters_are_dealt_out(spark, seed):
+    """One large group of near copies of one text, chains that leave it, and others: with pivots, in many tasks, as by brute force."""
+    rng = random.Random(seed)
+    base, rows = [f"w{rng.randrange(500)}" for _ in range(60)], []
+    for i in range(150):
+        text = list(base)
+        for _ in range(rng.randrange(4)):
+            text[rng.randrange(60)] = f"x{rng.randrange(9)}"
+        rows.append((i, " ".join(text)))
+    chain = list(base)
+    for i in range(25):
+        chain[(i * 7) % 60] = f"y{i}"
+        rows.append((200 + i, " ".join(chain)))
+    rows += family(seed, 20)
+    check(spark, rows, n=3, num=70, cluster=4000)
+    check(spark, rows, n=3, num=70, cluster=900)
+
+
 def test_clusters_in_memory():
     for seed in range(8):
         rng = np.random.default_rng(seed)
