@@ -23,22 +23,16 @@ def forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     at = at.astype(np.int32)
     a, b = at[: len(u)], at[len(u) :]
     label = np.arange(len(nodes), dtype=np.int32)
-    while True:
-        low = np.minimum(label[a], label[b])
-        new = label.copy()
-        # Both ends, and the roots they have so far, take the lower label; then labels are shortened.
-        for end in (a, b):
-            np.minimum.at(new, label[end], low)
-            np.minimum.at(new, end, low)
-        while (short := new[new]).tobytes() != new.tobytes():
-            new = short
-        if (new == label).all():
-            break
-        label = new
-        keep = label[a] != label[b]
-        a, b = a[keep], b[keep]
-        if not len(a):
-            break
+    while len(a):
+        # a and b are roots: the higher hangs itself on the least root that an edge joins it to, trees are
+        # flattened, and edges go on between the roots that are left. A root is the least node of its tree.
+        up = np.arange(len(nodes), dtype=np.int32)
+        np.minimum.at(up, np.maximum(a, b), np.minimum(a, b))
+        while (short := up[up]).tobytes() != up.tobytes():
+            up = short
+        label, a, b = up[label], up[a], up[b]
+        open_ = a != b
+        a, b = a[open_], b[open_]
     other = label != np.arange(len(nodes))
     return nodes[other], nodes[label[other]]
 
