@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from maskwerk.llm import fingerprints, licenses, ngrams, oracles, packing, quality, secrets, sentencepieces, sharding, suffixes, webpages
+from maskwerk.llm import conversations, fingerprints, licenses, ngrams, oracles, packing, quality, secrets, sentencepieces, sharding, suffixes, webpages
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality_rules": quality.op8_quality_rules,
         "op9_suffix_dedup": suffixes.op9_suffix_dedup,
         "op10_ngram_join": ngrams.op10_ngram_join,
+        "op12_conversation_repair": conversations.op12_conversation_repair,
     }
 
 
