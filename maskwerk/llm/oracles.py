@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from maskwerk.llm import archives, fingerprints, licenses, secrets
+from maskwerk.llm import archives, fingerprints, lexical, licenses, secrets
 from maskwerk.llm.quality import CLASSES, COMMON, GUARD_WORDS, MOST_CLASSES, MOST_COMMON, NOISE
 
 
@@ -82,4 +82,5 @@ def oracle_sql() -> dict[str, str]:
         "op9_suffix_dedup": SUFFIXES,
         "op10_ngram_join": NGRAMS,
         "op11_warc": archives.ORACLE_SQL,
+        "op13_lexical_search": lexical.ORACLE_SQL,
     }

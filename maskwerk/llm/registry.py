@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from maskwerk.llm import archives, conversations, fingerprints, licenses, ngrams, oracles, packing, quality, secrets, sentencepieces, sharding, suffixes, webpages
+from maskwerk.llm import archives, conversations, fingerprints, lexical, licenses, ngrams, oracles, packing, quality, secrets, sentencepieces, sharding, suffixes, webpages
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -23,6 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_ngram_join": ngrams.op10_ngram_join,
         "op11_warc": archives.op11_warc,
         "op12_conversation_repair": conversations.op12_conversation_repair,
+        "op13_lexical_search": lexical.op13_lexical_search,
     }
 
 
