@@ -8,17 +8,18 @@ so that no category is numbered by one task.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from datetime import UTC, datetime
+from typing import Any
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from maskwerk.functions import text as X
+from maskwerk.operators import merging
 from maskwerk.operators import spans as S
-from maskwerk.operators.graph import components
+from maskwerk.operators.commits import Commits, Conflict
 from maskwerk.operators.recognizers import Recognizer, detect
 from maskwerk.plans.tables import written
 
@@ -46,77 +47,23 @@ def first_seen(rows: DataFrame) -> DataFrame:
     return rows.groupBy("category", "normal").agg(F.min(order).alias("at"), F.min_by("original", order).alias("original"), F.count("*").alias("use_count"))
 
 
-def _greedy(group: pd.DataFrame) -> pd.DataFrame:
-    """Each key of a component, in order, joins the first accepted key that it may merge with, or is accepted.
-
-    Accepted keys are looked up by their letters and by what is left of their core without any one letter:
-    two cores within one edit have one of these in common.
-    """
-    group = group.sort_values(["old", "d", "s", "b"], ascending=[False, True, True, True], kind="stable")
-    by_letters: dict[str, int] = {}
-    by_variant: dict[str, list[int]] = {}
-    keys: list[tuple[str, str]] = []
-    into = []
-    for normal, core, letters in zip(group["normal"], group["core"], group["letters"], strict=True):
-        variants = {core, *(core[:i] + core[i + 1 :] for i in range(len(core)))}
-        found = [by_letters[letters]] if letters in by_letters else []
-        for k in {k for v in variants for k in by_variant.get(v, ())}:
-            other = keys[k][1]
-            if max(len(core), len(other)) >= X.FUZZY_LEAST and _within_one(core, other):
-                found.append(k)
-        if found:
-            into.append(keys[min(found)][0])
-            continue
-        k = len(keys)
-        keys.append((normal, core))
-        by_letters.setdefault(letters, k)
-        for v in variants:
-            by_variant.setdefault(v, []).append(k)
-        into.append(normal)
-    return pd.DataFrame({"category": group["category"].to_numpy(), "normal": group["normal"].to_numpy(), "into": into})
-
-
-def _within_one(a: str, b: str) -> bool:
-    if a == b:
-        return True
-    if abs(len(a) - len(b)) > 1:
-        return False
-    if len(a) > len(b):
-        a, b = b, a
-    i = next((k for k, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), len(a))
-    return a[i:] == b[i + 1 :] or len(a) == len(b) and a[i + 1 :] == b[i + 1 :]
-
-
-def merged(keys: DataFrame, existing: DataFrame | None = None) -> DataFrame:
+def merged(keys: DataFrame, existing: DataFrame | None = None, few: int = merging.FEW) -> DataFrame:
     """category, normal, into: which key each new key counts as.
 
-    Keys of other categories count as themselves. Companies that may merge have the same legal form and a
-    variant in common: their letters, their core, or it without one letter. Components over these are each
-    folded in order of appearance, greedily and not transitively, as one client's table would grow.
+    Keys of other categories count as themselves. Companies that may merge are settled in order of appearance,
+    those of the existing mapping first by their numbers, greedily and not transitively, as one client's table
+    would grow.
     """
-    form = X.legal_form(F.col("normal"))
-    some = keys.select("category", "normal", F.lit(False).alias("old"), F.col("at.doc_id").alias("d"), F.col("at.seg_no").alias("s"), F.col("at.back").alias("b"))
+    some = keys.select("category", "normal", F.struct(F.lit(True).alias("new"), F.lit(None).cast("long").alias("number"), "at").alias("order"))
     if existing is not None:
-        order = F.regexp_extract("placeholder", r"_([0-9]+)>$", 1).cast("long")
-        some = some.union(existing.select("category", "normal", F.lit(True), order, F.lit(0).cast(some.schema["s"].dataType), F.lit(0)))
-    fuzzy = some.filter(F.col("category").isin(*X.FUZZY_CATEGORIES)).withColumn("form", F.coalesce(form, F.lit("")))
+        number = F.regexp_extract("placeholder", r"_([0-9]+)>$", 1).cast("long")
+        old = F.struct(F.lit(False).alias("new"), number.alias("number"), F.lit(None).cast(keys.schema["at"].dataType).alias("at"))
+        some = some.union(existing.select("category", "normal", old)).groupBy("category", "normal").agg(F.min("order").alias("order"))
+    form = F.coalesce(X.legal_form(F.col("normal")), F.lit(""))
+    fuzzy = some.filter(F.col("category").isin(*X.FUZZY_CATEGORIES)).withColumn("form", form)
     fuzzy = fuzzy.withColumn("core", X.core_name(F.col("normal"), F.when(F.col("form") != "", F.col("form")))).withColumn("letters", X.letters_only(F.col("core")))
-    fuzzy = written(fuzzy.withColumn("node", F.xxhash64("category", "normal")), "companies")
-    cut = F.transform(F.sequence(F.lit(1), F.length("core")), lambda i: F.concat(F.lit("C"), F.substring(F.col("core"), F.lit(1), i - 1), F.substring(F.col("core"), i + 1, F.length("core"))))
-    near = F.when(F.length("core") >= X.FUZZY_LEAST - 1, F.concat(F.array(F.concat(F.lit("C"), "core")), cut)).otherwise(F.array().cast("array<string>"))
-    rows = fuzzy.select("node", "category", "form", F.explode(F.array_distinct(F.concat(F.array(F.concat(F.lit("L"), "letters")), near))).alias("variant"))
-    least = rows.groupBy(F.col("category").alias("c_"), F.col("form").alias("f_"), F.col("variant").alias("v_")).agg(F.min("node").alias("least"))
-    same = (F.col("category") == F.col("c_")) & (F.col("form") == F.col("f_")) & (F.col("variant") == F.col("v_"))
-    edges = rows.join(least, same).filter("node != least").select(F.col("node").alias("u"), F.col("least").alias("v")).distinct()
-    if edges.isEmpty():
-        out = fuzzy.select("category", "normal", F.col("normal").alias("into"))
-    else:
-        parts = components(edges).select(F.col("node").alias("n_"), "root")
-        linked = fuzzy.join(parts, F.col("node") == F.col("n_"), "left")
-        alone = linked.filter("root is null").select("category", "normal", F.col("normal").alias("into"))
-        out = linked.filter("root is not null").groupBy("root").applyInPandas(_greedy, "category string, normal string, into string").union(alone)
     plain = some.filter(~F.col("category").isin(*X.FUZZY_CATEGORIES)).select("category", "normal", F.col("normal").alias("into"))
-    return out.union(plain).distinct()
+    return merging.into(fuzzy, few).union(plain)
 
 
 def ranged(rows: DataFrame, order: list[str], size: int = RANGE_ROWS) -> DataFrame:
@@ -207,34 +154,41 @@ def missing(texts: DataFrame, mapping: DataFrame, column: str = "anonymized") ->
 
 
 class Store:
-    """A mapping table of one profile, in a folder: each write is a version of its own, named by the last pointer.
+    """A mapping table of one profile, in a folder of tables, with a commit for each version that names its table.
+
+    Several writers may go on from it at once: `update` makes its table anew from the last version if another
+    writer has committed meanwhile. A commit can carry a batch id; a batch that comes again gets the version that
+    it made, and adds nothing. Tables whose commit failed stay in the folder and are not read.
 
     Originals and normal forms are encrypted at rest; equality goes by keyed digest. Keys reach executors in
     functions, not as literals, so that no plan shows them.
     """
 
+    #: How often a writer tries again behind others.
+    ATTEMPTS = 50
+
     def __init__(self, spark, path: str, key: bytes, digest_key: bytes):
         self.spark, self.path, self.key, self.digest_key = spark, path.rstrip("/"), key, digest_key
+        self.commits = Commits(spark, f"{self.path}/_commits")
+        self._loaded: int | None = None
 
-    def _versions(self) -> list[str]:
-        fs_path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        fs = fs_path.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not fs.exists(fs_path):
-            return []
-        return sorted(s.getPath().getName() for s in fs.listStatus(fs_path) if fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS")))
+    def version(self) -> int:
+        """The last version's number; -1 if there is none."""
+        return self.commits.latest()
 
-    def stored(self) -> DataFrame | None:
-        """The last version as it is stored: STORED, with ciphertexts, digests and times."""
-        versions = self._versions()
-        return self.spark.read.schema(STORED).parquet(f"{self.path}/{versions[-1]}") if versions else None
+    def stored(self, version: int | None = None) -> DataFrame | None:
+        """A version, the last one by default, as it is stored: STORED, with ciphertexts, digests and times."""
+        version = self.version() if version is None else version
+        return self.spark.read.schema(STORED).parquet(f"{self.path}/{self.commits.entry(version)['data']}") if version >= 0 else None
 
     def _plain(self, rows: DataFrame, *more: str) -> DataFrame:
         key = X.held(self.key)
         plain = lambda c: F.aes_decrypt(F.col(c), key(F.col(c))).cast("string")
         return rows.select("placeholder", "category", plain("normal_ct").alias("normal"), plain("original_ct").alias("original"), "use_count", *more)
 
-    def load(self) -> DataFrame | None:
-        rows = self.stored()
+    def load(self, version: int | None = None) -> DataFrame | None:
+        self._loaded = self.version() if version is None else version
+        rows = self.stored(self._loaded)
         return None if rows is None else self._plain(rows)
 
     def dated(self) -> DataFrame | None:
@@ -242,12 +196,9 @@ class Store:
         rows = self.stored()
         return None if rows is None else self._plain(rows, "first_seen", "last_used")
 
-    def save(self, table: DataFrame) -> None:
-        """Writes the next version; a run that fails leaves the last one as it is.
-
-        A mapping that is new was first seen now; one whose use count has changed was last used now.
-        """
-        key, now, last = X.held(self.key), F.lit(datetime.now(UTC).isoformat(timespec="seconds")), self.stored()
+    def _write(self, table: DataFrame, base: int) -> str:
+        """Writes a table that follows a version; its name. A mapping that is new was first seen now; one whose use count has changed was last used now."""
+        key, now, last = X.held(self.key), F.lit(datetime.now(UTC).isoformat(timespec="seconds")), self.stored(base)
         hidden = lambda c: F.aes_encrypt(F.col(c), key(F.col(c)))
         if last is None:
             table = table.withColumns({"first_seen": now, "last_used": now})
@@ -256,10 +207,36 @@ class Store:
             table = table.join(before, F.col("placeholder") == F.col("p_"), "left")
             table = table.withColumns({"first_seen": F.coalesce("f_", now), "last_used": F.when(F.col("use_count") == F.col("n_"), F.col("l_")).otherwise(now)})
         out = table.select("placeholder", "category", hidden("normal").alias("normal_ct"), hidden("original").alias("original_ct"), X.hmac_sha256(F.col("normal"), self.digest_key).alias("normal_hmac"), "use_count", "first_seen", "last_used")
-        out.write.parquet(f"{self.path}/{len(self._versions()):08d}-{uuid.uuid4().hex[:8]}")
+        name = f"{base + 1:08d}-{uuid.uuid4().hex}"
+        out.write.parquet(f"{self.path}/{name}")
+        return name
+
+    def save(self, table: DataFrame) -> None:
+        """Commits a table as the version behind the one that was loaded last here, or behind the last one; Conflict if another writer has."""
+        base = self.version() if self._loaded is None else self._loaded
+        if not self.commits.put(base + 1, {"data": self._write(table, base)}):
+            raise Conflict(f"version {base + 1} of {self.path} is another writer's")
+        self._loaded = base + 1
+
+    def update(self, make: Callable[[DataFrame | None], tuple[Any, DataFrame]], batch: str | None = None) -> Any:
+        """make(known) gives a result and the table that follows; the result of the attempt that was committed.
+
+        If the batch has been committed before, the result is made from the version that it made, and nothing is written.
+        """
+        for _ in range(self.ATTEMPTS):
+            base = self.version()
+            if batch is not None and (done := self.commits.find("batch", batch)) is not None:
+                return make(self.load(done))[0]
+            result, table = make(self.load(base))
+            entry = {"data": self._write(table, base)} | ({"batch": batch} if batch is not None else {})
+            if self.commits.put(base + 1, entry):
+                self._loaded = base + 1
+                return result
+        raise Conflict(f"{self.path}: {self.ATTEMPTS} attempts behind other writers")
 
     def reset(self) -> None:
         """Deletes all versions. Placeholders in texts that are about cannot be restored any more."""
+        self._loaded = None
         path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 

@@ -77,8 +77,8 @@ class Profile:
 
     def anonymize(self, segments: DataFrame) -> DataFrame:
         """segments with anonymized, spans and entity_counts; the mapping and the log go on."""
-        out, table = mapping.anonymize(segments, self.store.load(), self.recognizers())
-        self.store.save(table)
+        known = self.recognizers()
+        out = self.store.update(lambda table: mapping.anonymize(segments, table, known))
         self._append("anonymize", out, "anonymized")
         return out
 

@@ -97,21 +97,21 @@ def _delivered(folder: str):
     return run
 
 
-def process(batch: DataFrame, store: mapping.Store, reverse: bool = False, recognizers: Sequence[Recognizer] | None = None, times: DataFrame | None = None) -> DataFrame:
-    """Rows (path, output, result, residual, error) of files (path, content); the store goes on.
+def process(batch: DataFrame, store: mapping.Store, reverse: bool = False, recognizers: Sequence[Recognizer] | None = None, times: DataFrame | None = None, batch_id: str | None = None) -> DataFrame:
+    """Rows (path, output, result, residual, error) of files (path, content); the store goes on, once for a batch id.
 
     output is the name to deliver under, null where there is an error. times: path and earlier, how often a path
     has been delivered before; then the name says which time this is.
     """
     batch = written(batch.select("path", "content"), "arrived")
     cut = written(batch.mapInPandas(_cut, "doc_id string, seg_no long, text string, error string"), "cut")
-    some, known = cut.filter("error is null").select("doc_id", "seg_no", "text"), store.load()
+    some = cut.filter("error is null").select("doc_id", "seg_no", "text")
     if reverse:
+        known = store.load()
         known = known if known is not None else batch.sparkSession.createDataFrame([], mapping.MAPPING)
         out = mapping.deanonymize(some, known, "text").withColumn("anonymized", F.col("restored"))
     else:
-        out, table = mapping.anonymize(some, known, recognizers)
-        store.save(table)
+        out = store.update(lambda known: mapping.anonymize(some, known, recognizers), batch_id)
     # The texts of one file, which was in memory whole before.
     pairs = out.groupBy("doc_id").agg(F.collect_list(F.struct("text", "anonymized")).alias("pairs")).select(F.col("doc_id").alias("path"), F.col("pairs.text").alias("before"), F.col("pairs.anonymized").alias("after"))
     bad = cut.filter("error is not null").select(F.col("doc_id").alias("path"), "error")
@@ -174,7 +174,7 @@ def watch_files(
         if here.getFileSystem(spark._jsc.hadoopConfiguration()).exists(here):
             done = spark.read.parquet(report).filter((F.col("batch") < number) & F.col("output").isNotNull())
             times = done.groupBy("path").agg(F.count("*").alias("earlier"))
-        made = process(settled(batch, settle) if settle else batch, store, reverse, recognizers, times)
+        made = process(settled(batch, settle) if settle else batch, store, reverse, recognizers, times, f"{checkpoint}#{number}")
         told = made.mapInPandas(_delivered(output), "path string, output string, residual int, error string")
         told.withColumn("message", message(F.col("error"))).write.mode("overwrite").parquet(f"{report}/batch={number}")
 

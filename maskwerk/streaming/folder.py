@@ -36,16 +36,17 @@ def incoming(spark: SparkSession, folder: str, pattern: str = "[!_]*.txt") -> Da
 
 
 def watch(spark: SparkSession, folder: str, output: str, quarantine: str, store: mapping.Store, checkpoint: str, once: bool = True, seconds: int = 3) -> StreamingQuery:
-    """Starts the stream. Each batch goes on from the stored mapping, saves the next one, then writes its texts."""
+    """Starts the stream. Each batch goes on from the stored mapping, commits the next one, then writes its texts.
+
+    A batch that runs again after a failure finds its commit and only writes its texts.
+    """
 
     def handle(batch: DataFrame, number: int) -> None:
         if batch.isEmpty():
             return
-        known = store.load()
-        out, table = mapping.anonymize(batch, known)
+        out = store.update(lambda known: mapping.anonymize(batch, known), batch=f"{checkpoint}#{number}")
         done = gated(out).persist()
         try:
-            store.save(table)
             done.filter("passed").select("doc_id", "anonymized", "no_hits").write.mode("overwrite").parquet(f"{output}/batch={number}")
             done.filter("not passed").select("doc_id", "residual").write.mode("overwrite").parquet(f"{quarantine}/batch={number}")
         finally:
