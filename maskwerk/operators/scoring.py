@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from maskwerk.functions import patterns
 from maskwerk.functions.text import canonical
 
 THRESHOLD = 0.5
@@ -153,10 +154,16 @@ def gate_rows(lines: DataFrame, aliases: dict[str, str] | None = None) -> DataFr
     return rows.groupBy("category").agg(F.min_by("least", "n").cast("double").alias("least"))
 
 
-def coverage(keywords: DataFrame, files: DataFrame, most: int = 10_000) -> DataFrame:
-    """keyword and n_files: how many files hold each keyword, in any case. keywords is a stated list of `most` at most."""
-    words = [r["keyword"] for r in keywords.limit(most + 1).collect()]
-    if len(words) > most:
-        raise ValueError(f"over {most} keywords")
-    hits = files.select("path", F.explode(F.filter(F.array(*map(F.lit, words)), lambda k: F.lower(F.col("text")).contains(F.lower(k)))).alias("keyword"))
-    return keywords.join(hits.groupBy("keyword").agg(F.countDistinct("path").alias("n_files")), "keyword", "left").na.fill(0, ["n_files"])
+def coverage(keywords: DataFrame, files: DataFrame, block: int = 100_000) -> DataFrame:
+    """keyword and n_files: how many files (path, text) hold each keyword, in any case. Keywords are distinct.
+
+    Texts are read once for each `block` keywords, which the driver holds and one automaton finds. An empty keyword is in none.
+    """
+    low = keywords.select(F.lower("keyword").alias("keyword")).filter("keyword != ''").distinct()
+    blocks = -(-low.count() // block)
+    hits = files.select("path", F.lit("").alias("k_")).filter("k_ != ''")
+    for n in range(blocks):
+        words = [r["keyword"] for r in low.filter(F.pmod(F.xxhash64("keyword"), F.lit(blocks)) == n).collect()]
+        hits = hits.unionByName(files.select("path", F.explode(patterns.held_by(words)(F.lower("text"))).alias("k_")))
+    counts = hits.groupBy("k_").agg(F.countDistinct("path").alias("n_files"))
+    return keywords.join(counts, F.lower("keyword") == F.col("k_"), "left").drop("k_").na.fill(0, ["n_files"])

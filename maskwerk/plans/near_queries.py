@@ -7,12 +7,12 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maskwerk.operators import mapping
+from maskwerk.operators import mapping, recognizers, scoring
 from maskwerk.plans.more_queries import _HALVES, QUERIES, SQL  # noqa: F401
 from maskwerk.plans.queries import KEY, only, query, segments, table
 from maskwerk.plans.tables import shared_dir, written
 
-_LETTERS = "translate(lpad({n}, 8, '0'), '0123456789', 'abcdefghij')"
+_LETTERS = "translate(lpad({n}, 12, '0'), '0123456789', 'abcdefghij')"
 
 
 @query(f"""with recursive names as (select c_custkey::bigint as key, {_LETTERS.format(n="c_custkey::varchar")} as core, case when c_custkey % 3 = 0 then 'ag' else 'gmbh' end as form, row_number() over (order by c_custkey) as i from customer),
@@ -45,3 +45,27 @@ def two_writers(spark: SparkSession, sf_dir: str) -> DataFrame:
     one.update(even, "even")
     two.update(odd, "odd")
     return one.load().drop("category")
+
+
+_WORDS = "words as (select distinct unnest(regexp_extract_all(lower(text), '[a-z]{7,}')) as w from benchmark)"
+
+
+def _words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All words of seven letters or more in the benchmark's items, in lower case."""
+    return table(spark, sf_dir, "benchmark").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{7,}"), F.lit(0))).alias("w")).distinct()
+
+
+@query(f"""with {_WORDS} select doc_id, sum((length(text) - length(replace(lower(text), w, ''))) // length(w))::bigint as n
+from documents, words group by doc_id""")
+def many_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often the benchmark's long words, as custom terms, stand in each document, in any case, with all of them in one pass."""
+    words = [r["w"] for r in _words(spark, sf_dir).collect()]
+    found = recognizers.detect(F.col("text"), [recognizers.terms(words, few=0)], resolved=False)
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(found).cast("long").alias("n"))
+
+
+@query(f"with {_WORDS} select w as keyword, count(*) filter (contains(lower(text), w))::bigint as n_files from words, documents group by w")
+def keyword_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many documents hold each long word of the benchmark."""
+    files = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"), "text")
+    return scoring.coverage(_words(spark, sf_dir).withColumnRenamed("w", "keyword"), files)
