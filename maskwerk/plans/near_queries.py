@@ -11,6 +11,7 @@ from maskwerk.operators import mapping, recognizers, scoring
 from maskwerk.plans.more_queries import _HALVES, QUERIES, SQL  # noqa: F401
 from maskwerk.plans.queries import KEY, only, query, segments, table
 from maskwerk.plans.tables import shared_dir, written
+from maskwerk.sources import csv_splits
 
 _LETTERS = "translate(lpad({n}, 12, '0'), '0123456789', 'abcdefghij')"
 
@@ -69,3 +70,15 @@ def keyword_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many documents hold each long word of the benchmark."""
     files = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"), "text")
     return scoring.coverage(_words(spark, sf_dir).withColumnRenamed("w", "keyword"), files)
+
+
+@query("select doc_id::varchar as doc_id, length(text)::bigint as n_chars, md5(text) as digest, true as gapless from documents where text <> ''")
+def csv_of_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents through CSV files: quoted texts with line feeds come back whole, and the rows of each file are numbered without gaps."""
+    path = f"{shared_dir(spark).rstrip('/')}/csv-{uuid.uuid4().hex}"
+    table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string"), "text").filter("text <> ''").write.csv(path, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    rows = written(csv_splits.records(spark, path, ","), "csv-rows")
+    sizes = rows.groupBy(F.col("path").alias("p_")).agg((F.max("row") + 1 == F.countDistinct("row")).alias("gapless"))
+    cells = csv_splits.cells(rows, ",").withColumn("doc_id", F.when(F.col("col") == 0, F.col("text")))
+    both = cells.groupBy("path", "row").agg(F.max("doc_id").alias("doc_id"), F.max(F.when(F.col("col") == 1, F.col("text"))).alias("text"))
+    return both.join(sizes, F.col("path") == F.col("p_")).select("doc_id", F.length("text").cast("long").alias("n_chars"), F.md5("text").alias("digest"), "gapless")

@@ -17,12 +17,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from maskwerk.sources import csv_splits
 from maskwerk.sources.pdf import pages_of, read_pdf, rewritten_pdf
 
 TEXT, TABLE, PAGE, WORD, EXCEL, PDF = (".txt", ".text", ".log", ".md"), (".csv", ".tsv"), (".html", ".htm"), (".docx",), (".xlsx",), (".pdf",)
 SUPPORTED = (*TEXT, *TABLE, *PAGE, *WORD, *EXCEL, *PDF)
 SEGMENT = "doc_id string, part string, seg_no long, row long, col long, text string"
 DELIMITERS = ",;\t|"
+#: Segment numbers of a CSV file are row * CSV_COLUMNS + column.
+CSV_COLUMNS = 1 << 24
 W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 M = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 DATA_URI = r"""data:[A-Za-z0-9.+/-]+;base64,[A-Za-z0-9+/=\s]+"""
@@ -74,13 +77,11 @@ def sniffed(sample: str) -> str:
 
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Non-empty cells; quoted cells may hold line feeds. The delimiter is sniffed from the first 4096 characters."""
+    """Non-empty cells, with the row in their file; quoted cells may hold line feeds, and a file is read by many tasks. The delimiter is sniffed from the first 4096 characters."""
     head = "\n".join(r[0] for r in spark.read.text(path).select(F.substring("value", 1, 4096)).limit(50).collect())[:4096]
-    rows = spark.read.csv(path, sep=sniffed(head), header=False, multiLine=True, escape='"', inferSchema=False)
-    rows = rows.withColumn("row", F.monotonically_increasing_id()).withColumn("doc_id", F.input_file_name())
-    cells = F.array(*[F.col(c) for c in rows.columns if c.startswith("_c")])
-    out = rows.select("doc_id", "row", F.posexplode(cells).alias("col", "text")).filter("text is not null and text != ''")
-    return out.select("doc_id", F.lit("cell").alias("part"), (F.col("row") * 100_000 + F.col("col")).alias("seg_no"), "row", F.col("col").cast("long").alias("col"), "text")
+    sep = sniffed(head)
+    out = csv_splits.cells(csv_splits.records(spark, path, sep), sep)
+    return out.select(F.col("path").alias("doc_id"), F.lit("cell").alias("part"), (F.col("row") * CSV_COLUMNS + F.col("col")).alias("seg_no"), "row", "col", "text")
 
 
 def write_csv(cells: DataFrame, path: str, width: int, sep: str = ",") -> None:
