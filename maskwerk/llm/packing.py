@@ -62,8 +62,8 @@ class WordTokenizer(Resting):
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = not quoted_special
         special = [t.content for t in self.library.get_added_tokens_decoder().values()] if quoted_special else []
-        # Special tokens count in the case in which they are written.
-        self.special = re.compile("|".join(map(re.escape, special))) if special else None
+        # In lower case, as a text would be looked up: where one may stand in it in any spelling, the text stays as written.
+        self.special = re.compile("|".join(re.escape(t.lower()) for t in special)) if special else None
         vocab = self.library.get_vocab()
         self.kind = np.dtype("<u2") if len(vocab) <= 1 << 16 else np.dtype("<u4")
         suffix = getattr(self.library.model, "end_of_word_suffix", None)
@@ -103,11 +103,12 @@ class WordTokenizer(Resting):
             known[w] = known[w[:-1]] + known[w[-1]]
 
     def words(self, text: str) -> list[str]:
-        if self.special and self.special.search(text):
-            return text.replace("\n", " ").split(" ")
         try:  # where lower case cannot depend on neighbours or on composition, it is taken before the look-up
             text.encode("latin-1")
-            text = text.lower()
+            low = text.lower()
+            # A special token counts only as it is written: lower case must not make one.
+            if low == text or not (self.special and self.special.search(low)):
+                text = low
         except UnicodeEncodeError:
             pass
         return text.replace("\n", " ").split(" ")

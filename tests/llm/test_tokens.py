@@ -1,6 +1,7 @@
 """Sharding, packing and sentencepiece encoding against plain Python."""
 
 import hashlib
+import random
 import zlib
 from collections import Counter, defaultdict
 
@@ -91,6 +92,22 @@ def test_query_has_the_ids_of_the_plain_library(spark, monkeypatch):
         assert (r["start"], r["length"], r["doc_tokens"], r["ids_crc32"]) == (0, len(ids), len(ids), zlib.crc32(ids.tobytes())), SPECIAL[r["doc_id"]]
 
 
+@pytest.mark.parametrize("quoted", [False, True])
+def test_special_tokens_in_any_spelling(quoted):
+    """Random texts of pieces of special tokens, in other letters too, have the ids of the plain library."""
+    rng = random.Random(7)
+    parts = ["<|endoftext|>", "<|ENDOFTEXT|>", "<|EndOfText|>", "<|startoftext|>", "<|StartOfText|>", "<|", "|>", "<", "|", ">", "endoftext", "ENDOF", "text", "A", "b", "İ", "ſ", "Ü", "É", " ", " ", "\n", ",", ".", "K"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(1, 9))) for _ in range(10_000)]
+    texts += ["A <|ENDOFTEXT|> b", "x<|EndOfText|>y"]
+    library = Tokenizer.from_file(WORD)
+    library.encode_special_tokens = not quoted
+    mine = packing.WordTokenizer(WORD, quoted)
+    for at in range(0, len(texts), 500):
+        part = texts[at : at + 500]
+        for t, got, want in zip(part, mine.batch(part), library.encode_batch(part, add_special_tokens=False), strict=True):
+            assert np.frombuffer(got, mine.kind).tolist() == want.ids, t
+
+
 def shares(plan):
     """Tokens by window and queue, place by place."""
     out = defaultdict(Counter)
