@@ -119,7 +119,8 @@ class Page:
     """The tree of a page: for each node its parent (earlier in the lists), tag, hints, text and linked letters.
 
     What is skipped inside a block, like a script, parts its text into nodes; glue has the white space between
-    such a node and the one before it (None: a block of its own).
+    such a node and the one before it (None: a block of its own). For features and decoding such nodes are one: the first
+    has the letters of all and the label, the others count as nothing.
     """
 
     __slots__ = ("glue", "linked", "parent", "hints", "tag", "text")
@@ -214,20 +215,34 @@ class Page:
                         out |= 1 << TOKEN_HINT[t]
         return out
 
+    def blocks(self) -> list[str | None]:
+        """For each node, the text of the block that begins there, if one does."""
+        out, first = [t or None for t in self.text], 0
+        for i, glue in enumerate(self.glue):
+            if glue is not None:
+                out[first], out[i] = f"{out[first]}{glue}{out[i]}", None
+            elif self.text[i]:
+                first = i
+        return out
+
     def features(self) -> np.ndarray:
         n = len(self.tag)
         parent = self.parent
         chars, linked, marks, words = ([0] * n for _ in range(4))
         tags, children, depth, above, above_hints = ([0] * n for _ in range(5))
+        first = 0
         for i in range(n):
             if t := self.text[i]:
-                chars[i], linked[i] = len(t), self.linked[i]
-                marks[i], words[i] = t.count(".") + t.count(","), t.count(" ") + 1
+                first = i if (glue := self.glue[i]) is None else first
+                chars[first] += len(t) + len(glue or "")
+                linked[first] += self.linked[i]
+                marks[first] += t.count(".") + t.count(",")
+                words[first] += t.count(" ") + 1 if glue is None else t.count(" ") + len(glue)
             else:
                 tags[i] = 1
             if i:
                 p = parent[i]
-                children[p] += 1
+                children[p] += self.glue[i] is None
                 depth[i] = depth[p] + 1
                 above[i] = above[p] | (1 << ABOVE.index(self.tag[p]) if self.tag[p] in ABOVE else 0)
                 above_hints[i] = above_hints[p] | self.hints[p]
@@ -236,7 +251,7 @@ class Page:
         for i in range(n):
             seen[i] = total
             total += chars[i]
-        texts = [int(bool(t)) for t in self.text]
+        texts = [int(bool(t) and g is None) for t, g in zip(self.text, self.glue, strict=True)]
         for i in range(n - 1, 0, -1):
             p = parent[i]
             for column in (chars, linked, marks, words, tags, texts):
@@ -246,6 +261,8 @@ class Page:
         before, after = [0] * n, [0] * n
         same: dict[tuple[int, str], int] = {}
         for i in range(1, n):
+            if self.glue[i] is not None:
+                continue
             p = parent[i]
             top[p] = max(top[p], chars[i])
             same[p, self.tag[i]] = same.get((p, self.tag[i]), 0) + 1
@@ -275,6 +292,7 @@ class Page:
     def decode(self, odds: list[float]) -> list[str]:
         """Blocks of text that the best consistent labelling has in the article, in page order."""
         n = len(self.tag)
+        odds = [0.0 if g is not None else x for x, g in zip(odds, self.glue, strict=True)]
         inside, drop, around = list(odds), [-x for x in odds], [0.0] * n
         for i in range(n - 1, 0, -1):
             p = self.parent[i]
@@ -284,7 +302,9 @@ class Page:
         state = ["around"] * n
         for i in range(1, n):
             up = state[self.parent[i]]
-            if up == "drop":
+            if self.glue[i] is not None:
+                state[i] = state[i - 1]
+            elif up == "drop":
                 state[i] = "drop"
             elif up == "inside":
                 state[i] = "inside" if inside[i] > drop[i] - SWITCH else "drop"
@@ -295,13 +315,24 @@ class Page:
         out: list[str] = []
         for i in range(n):
             if self.text[i] and state[i] == "inside":
-                if self.glue[i] is not None and state[i - 1] == "inside":
+                if self.glue[i] is not None:
                     out[-1] += self.glue[i] + self.text[i]
                 else:
                     out.append(self.text[i])
         return out
 
 
+def linking(rng: random.Random, text: str) -> str:
+    """Some text of an article, now and then with a link in it, or mostly a link, and something skipped behind that."""
+    words = text.split(" ")
+    if rng.random() < 0.75 or "&" in text or len(words) < 4:
+        return text
+    size = rng.randint(1, 5) if rng.random() < 0.8 else len(words) * 2 // 3
+    at = rng.randrange(len(words) - size) if len(words) > size else 0
+    skipped = rng.choice(["", "", "<script>var t = 1;</script>", "<svg><path d=x></svg>"])
+    return " ".join([*words[:at], f'<a href="/{words[at]}">{" ".join(words[at : at + size])}</a>{skipped}', *words[at + size :]])
+
+
 def written_page(seed: int) -> tuple[str, set[str]]:
     """A page of random layout, and the texts of its main text's blocks."""
     rng = random.Random(seed)
@@ -332,7 +363,7 @@ def written_page(seed: int) -> tuple[str, set[str]]:
     def block() -> str:
         kind = rng.random()
         if kind < 0.72:
-            text = keep(prose())
+            text = linking(rng, keep(prose() if rng.random() < 0.9 else sentence(4, 9)))
             return rng.choice([f"<p>{text}</p>", f"<p>{text}</p>", f"<p>{text}", f"<p><b>{text}</b></p>", f"<p><b>{text}<br>", f"<div>{text}</div>"])
         if kind < 0.8:
             return f"<h2>{keep(sentence(2, 8))}</h2>"
@@ -418,6 +449,8 @@ def foreign_page(seed: int) -> tuple[str, set[str]]:
             if rng.random() < 0.3:  # inline markup, which ends no block
                 cut = text.find(" ", len(text) // 3)
                 text = f"{text[:cut]} <em>{text[cut + 1 :]}</em>" if cut > 0 and "&" not in text else text
+            elif rng.random() < 0.4:
+                text = linking(rng, text)
             return named("p", text) if rng.random() < 0.8 else f"<div>{text}</div>"
         if kind < 0.76:
             return named(rng.choice(["h2", "h3"]), keep(words(2, 7).capitalize()))
@@ -460,7 +493,7 @@ def fitted(pages: int = TRAINING_PAGES) -> Boosted:
     for seed in range(pages):
         source, main = foreign_page(seed) if seed % 5 in (1, 3) else written_page(seed)
         page = Page(source)
-        own = [1 if t in main else 0 if t else None for t in page.text]
+        own = [None if t is None else int(t in main) for t in page.blocks()]
         whole = [o != 0 for o in own]
         has = [o is not None for o in own]
         for i in range(len(own) - 1, 0, -1):

@@ -141,6 +141,40 @@ def test_foreign_layouts():
     assert right / found > 0.9 and right / wanted > 0.9
 
 
+PROSE = "The town lies on a river, and its market is older than its walls. Ships came up from the sea, with salt and wool."
+
+
+@pytest.mark.parametrize(
+    ("inner", "want"),
+    [
+        ("The river ran<script>var x = 1;</script> on", "The river ran on"), ("See <noscript><img src=x></noscript>the map", "See the map"), ("We saw it<svg><text>no</text></svg> today", "We saw it today"),
+        ("We came <a href=/x>and a link to it</a><script>1</script> (more)", "We came and a link to it (more)"), ("<style>b{}</style>A<script>1</script>B<svg></svg> C <script>2</script><a href=/y>D</a>", "AB C D"),
+    ],
+)
+@pytest.mark.parametrize("around", ["{}", "<header><a href=/>Home</a></header><nav><ul><li><a href=/a>News</a></li><li><a href=/b>Sport</a></li></ul></nav>{}<footer>&copy; 2020 Example</footer>"])
+def test_a_block_with_something_skipped_in_it_is_one(inner, want, around):
+    """A block is kept or dropped as a whole, whatever stands in it."""
+    page = around.format(f"<article><h1>A short history</h1><p>{PROSE}</p><p>{inner}</p><p>{PROSE[::-1]}</p></article>")
+    plain = around.format(f"<article><h1>A short history</h1><p>{PROSE}</p><p>{want}</p><p>{PROSE[::-1]}</p></article>")
+    got, without = webpages.main_texts([page, plain], webpages.fitted())
+    assert got.split("\n") == ["A short history", PROSE, want, PROSE[::-1]] and without == got
+
+
+def test_scripts_change_no_verdict():
+    """Pages in whose blocks scripts and icons are put have the same text as without them."""
+    import random
+
+    model, rng = webpages.fitted(), random.Random(3)
+    for seed in range(150):
+        source, _ = strange_page(seed)
+        cut = [rng.choice(["<script>var a = '<p>';</script>", "<svg><path d=x></svg>", "<noscript><b>x</b></noscript>"]) + " " if c == " " and rng.random() < 0.02 else c for c in source]
+        inside, mixed = False, []
+        for c, new in zip(source, cut, strict=True):  # between tags alone
+            inside = c == "<" or inside and c != ">"
+            mixed.append(c if inside else new)
+        assert webpages.main_texts(["".join(mixed)], model) == webpages.main_texts([source], model), seed
+
+
 def test_many_unclosed_elements():
     started = time.monotonic()
     page = webpages.Page("<body>" + "<svg><button>x" * 100_000)
