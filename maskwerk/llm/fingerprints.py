@@ -6,7 +6,7 @@ digests, so that equal roots mean equal texts. The fingerprint spells a tree of
 root/section:piece piece ...,piece ...;section:... with paragraphs between commas. Where two differ, the
 branches that differ locate the edit; the likeness of two fingerprints is the Dice coefficient of their sets
 of pieces. Pieces are spelled with DIGITS hex digits, so that two texts that differ in one piece have one
-spelling with a chance of one in 16.8 million: compare whole_root for equality. All is DataFrame expressions.
+spelling with a chance of one in 16.8 million: compare merkle_root (whole_root) for equality. All is DataFrame expressions.
 
 Defined results: a null text is empty, its fingerprint that of the empty text, with likeness 1 to another
 empty one and 0 to the rest; documents follow each other by doc_id, nulls last, ties by text; a single
@@ -103,7 +103,7 @@ def _ranges(docs: DataFrame) -> Column:
 
 
 def with_next(docs: DataFrame) -> DataFrame:
-    """doc_id, _text, fingerprint, leaves, and the same of the next document as next_text, next_leaves.
+    """doc_id, _text, fingerprint, merkle_root, leaves, and of the next document next_text and next_leaves.
 
     Ranges of ids are windows; the first document of each range is also sent to the range before it, and
     the very first to the last. Heads of ranges, RANGES at most, are broadcast.
@@ -119,7 +119,7 @@ def with_next(docs: DataFrame) -> DataFrame:
     rows = fingerprinted(base, "_text").join(F.broadcast(heads), F.col("_id") == F.col("_head"), "left")
     copies = F.array(F.struct(F.col("_range").alias("r"), F.lit(0).alias("guest")), F.struct(F.col("_before").alias("r"), F.lit(1).alias("guest")))
     rows = rows.withColumn("_to", F.explode(F.when(F.col("_before").isNull(), F.slice(copies, 1, 1)).otherwise(copies)))
-    rows = rows.select("doc_id", "_id", "_text", "fingerprint", "leaves", F.col("_to.r").alias("_r"), F.col("_to.guest").alias("_guest"))
+    rows = rows.select("doc_id", "_id", "_text", "fingerprint", "merkle_root", "leaves", F.col("_to.r").alias("_r"), F.col("_to.guest").alias("_guest"))
     window = Window.partitionBy("_r").orderBy("_guest", "_id", "_text")
     return rows.withColumns({"next_text": F.lead("_text").over(window), "next_leaves": F.lead("leaves").over(window)}).filter("_guest = 0")
 
@@ -138,6 +138,7 @@ def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(
         "doc_id", "n_chars", F.sha2("edited_text", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint",
         likeness(F.col("leaves"), F.col("edited_leaves")).alias("near_edited"), likeness(F.col("leaves"), F.col("next_leaves")).alias("near_next"),
+        "merkle_root",
     )
 
 
@@ -160,11 +161,15 @@ trees as (
         || '/' || list_aggregate(list_transform(tree, lambda s:
             md5(list_aggregate(list_transform(s, lambda p: md5(coalesce(list_aggregate(p, 'string_agg', ''), ''))[1:16]), 'string_agg', ','))[1:6]
             || ':' || list_aggregate(list_transform(s, lambda p: coalesce(list_aggregate(p, 'string_agg', ''), '')), 'string_agg', ',')), 'string_agg', ';')) as prints,
-        list_transform(trees, lambda tree: list_distinct(flatten(flatten(tree)))) as leaves
+        list_transform(trees, lambda tree: list_distinct(flatten(flatten(tree)))) as leaves,
+        sha256(list_aggregate(list_transform(regexp_split_to_array(replace(t, chr(10) || chr(10), chr(10) || chr(10) || chr(1)), chr(1)), lambda s:
+            sha256(list_aggregate(list_transform(regexp_split_to_array(replace(s, chr(10), chr(10) || chr(1)), chr(1)), lambda p:
+                sha256(coalesce(list_aggregate(list_transform(regexp_extract_all(p, '(?s)(?:[^\x20]+\x20*){1,4}|\x20+'), lambda w: sha256(w)), 'string_agg', ''), ''))), 'string_agg', ''))), 'string_agg', '')) as merkle_root
     from trees
 )
 select doc_id, n as n_chars, sha256(e) as edited_sha256, prints[1] as fingerprint, prints[2] as edited_fingerprint,
     case when len(leaves[1]) + len(leaves[2]) = 0 then 1.0::double else 2.0::double * len(list_intersect(leaves[1], leaves[2])) / (len(leaves[1]) + len(leaves[2])) end as near_edited,
-    case when len(leaves[1]) + len(leaves[3]) = 0 then 1.0::double else 2.0::double * len(list_intersect(leaves[1], leaves[3])) / (len(leaves[1]) + len(leaves[3])) end as near_next
+    case when len(leaves[1]) + len(leaves[3]) = 0 then 1.0::double else 2.0::double * len(list_intersect(leaves[1], leaves[3])) / (len(leaves[1]) + len(leaves[3])) end as near_next,
+    merkle_root
 from spelled
 """
