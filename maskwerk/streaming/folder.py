@@ -13,6 +13,9 @@ from pyspark.sql.streaming import StreamingQuery
 
 from maskwerk.operators import mapping
 from maskwerk.operators.recognizers import Recognizer, bundle, detect
+from maskwerk.streaming.limits import allowed
+
+__all__ = ["GATE", "allowed", "gated", "incoming", "residual", "watch"]
 
 #: Categories precise enough that one hit in an output stops it.
 GATE = ("IBAN", "BIC", "UID", "SVNR", "STEUERNR", "TAX_ID", "AHV", "CREDITCARD", "EMAIL", "SECRET")
@@ -54,24 +57,3 @@ def watch(spark: SparkSession, folder: str, output: str, quarantine: str, store:
 
     writer = incoming(spark, folder).writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=f"{seconds} seconds")).start()
-
-
-def allowed(requests: DataFrame, burst: int = 60, rate: float = 1.0) -> DataFrame:
-    """Token-bucket decisions over requests (client, at seconds): allowed and retry_after, in order of time by client.
-
-    One client's requests are a fold in order; clients are separate.
-    """
-    import pandas as pd
-
-    def fold(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("at")
-        tokens, last, ok, wait = float(burst), None, [], []
-        for t in group["at"]:
-            tokens = min(float(burst), tokens + (0.0 if last is None else (t - last) * rate))
-            last = t
-            ok.append(tokens >= 1)
-            wait.append(0.0 if tokens >= 1 else (1 - tokens) / rate)
-            tokens -= 1 if tokens >= 1 else 0
-        return pd.DataFrame({"client": group["client"], "at": group["at"], "allowed": ok, "retry_after": wait})
-
-    return requests.select("client", F.col("at").cast("double").alias("at")).groupBy("client").applyInPandas(fold, "client string, at double, allowed boolean, retry_after double")
