@@ -1,7 +1,7 @@
 """Span algebra on array columns: union, overlap resolution, splicing, counting. No shuffle.
 
-Work grows with the number of spans and its logarithm; only spans that reach into each other in one unbroken
-chain are folded one after the other.
+Work grows with the number of spans and its logarithm; spans that reach into each other in one unbroken chain are
+folded one after the other, with copies that grow with the power of one and a half.
 """
 
 from __future__ import annotations
@@ -43,8 +43,11 @@ def apart(low: Column, high: Column) -> Column:
 
 
 def _chain(spans: Column) -> Column:
-    """Of spans in order that reach into each other, those that stay."""
-    start = F.struct(none().alias("done"), F.lit(None).cast(SPAN).alias("last"))
+    """Of spans in order that reach into each other, those that stay.
+
+    A fold copies what it has gathered at each step, so it goes over parts, as many as each has spans.
+    """
+    start = lambda last: F.struct(none().alias("done"), last.alias("last"))
 
     def step(a: Column, x: Column) -> Column:
         last, new = a["last"], x["span"]
@@ -54,7 +57,15 @@ def _chain(spans: Column) -> Column:
         more = F.struct(F.concat(a["done"], F.array(last)).alias("done"), new.alias("last"))
         return F.when(last.isNull(), first).when(new["start"] < last["end"], keep).otherwise(more)
 
-    return F.aggregate(spans, start, step, lambda a: F.concat(a["done"], F.array(a["last"])))
+    def part(a: Column, some: Column) -> Column:
+        return A.let(F.aggregate(some, start(a["last"]), step), lambda b: F.struct(F.concat(a["done"], b["done"]).alias("done"), b["last"].alias("last")))
+
+    def parts(x: Column) -> Column:
+        cut = lambda i: F.slice(x["all"], i * x["size"] + 1, x["size"])
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(x["all"]) - 1) / x["size"]).cast("int")), cut)
+
+    cuts = A.let(F.struct(spans.alias("all"), F.ceil(F.sqrt(F.size(spans))).cast("int").alias("size")), parts)
+    return F.aggregate(cuts, start(F.lit(None).cast(SPAN)), part, lambda a: F.concat(a["done"], F.array(a["last"])))
 
 
 def resolve(spans: Column) -> Column:
