@@ -4,7 +4,7 @@ A document's histograms of character classes and of common words are held agains
 of its language by Jensen-Shannon distance (base 2, 0 to 1). Documents with few words have histograms
 that scatter, so that the verdict asks for a minimum length, and allows the common words a distance that
 falls with it: the one that words drawn from the language's own histogram exceed once in 1 / FALSE_ALARMS
-documents, and SLACK. op8_quality_rules has the allowance of its SQL instead, which is wider. All is
+documents, and SLACK. op8_quality_rules has a closed form of that, which SQL can state. All is
 DataFrame expressions; the references are a row for each known language.
 
 Defined results: a null text has no words and fails by its length; documents of unknown or null language
@@ -37,8 +37,9 @@ LEAST_WORDS = 20
 MOST_REPEATED = 30
 #: Words from which on a document is held against its language.
 GUARD_WORDS = 50
-#: Distances allowed: of classes, and of common words, the latter plus NOISE / sqrt(words). The latter is the SQL's.
-MOST_CLASSES, MOST_COMMON, NOISE = 0.28, 0.11, 2.0
+#: Distances allowed: of classes, and of common words, the latter plus NOISE / sqrt(words). NOISE is sqrt(x / (8 ln 2)) with
+#: the x that a chi-squared value of 12 degrees exceeds once in a thousand; MOST_COMMON keeps all good documents of one half of the labels.
+MOST_CLASSES, MOST_COMMON, NOISE = 0.28, 0.02, 2.44
 #: The allowance by noise: share of drawn documents beyond it, and what is added as real words are not drawn one by one.
 FALSE_ALARMS, SLACK = 0.001, 0.01
 #: Where noise is found by drawing: numbers of words GUARD_WORDS * STEP**k, so many of them, and draws at each.
@@ -144,7 +145,7 @@ def judged(docs: DataFrame, keep_text: bool = True, by_noise: bool = True) -> Da
     What is counted in the texts is written, without them, and the references are made from that. Verdicts
     come from the same table, or, where texts have to go with them, from a second reading: a table with texts
     would need the disk of one more copy. The references have a row for each language of COMMON at most, so
-    that they may be broadcast. Common words are allowed the distance of noise, or else the SQL's.
+    that they may be broadcast. Common words are allowed the distance of noise, or else its closed form.
     """
     made = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "class_distance", "word_distance", "kept")
     given = [c for c in docs.columns if c not in made and (keep_text or c != "text")]
