@@ -32,23 +32,49 @@ def _greedy(pairs: Column) -> Column:
     return F.aggregate(F.array_sort(pairs), start, step, lambda a: a["n"])
 
 
+def candidates(expected: DataFrame, found: DataFrame) -> DataFrame:
+    """doc_id, category, e, f, share, from and to (what both cover) of pairs with a share of THRESHOLD or more, a half at least.
+
+    expected has e, found has f beside doc_id, category, start, end. Two such spans differ in length by a factor
+    of two at most, and in start by half of the longer: so an expected span goes to one cell, by the power of two
+    in its length and its start in such steps, a found one to the few cells that a partner may be in.
+    """
+    if THRESHOLD < 0.5:
+        raise ValueError("cells hold partners of a half or more")
+    size = lambda k: F.floor(F.log2(F.col("end") - F.col("start")) + 1e-9).cast("int") + k
+    long = lambda d: d.filter(F.col("end") > F.col("start"))
+    cell = lambda place, k: F.floor(place / F.pow(F.lit(2.0), k)).cast("long")
+    a = long(expected).withColumns({"k": size(0), "c": cell(F.col("start"), size(0))}).alias("a")
+
+    def cells(k: int) -> Column:
+        reach = F.greatest(F.pow(F.lit(2.0), size(k) + 1), F.col("end") - F.col("start")) / 2
+        return F.transform(F.sequence(cell(F.col("start") - reach, size(k)), cell(F.col("start") + reach, size(k))), lambda c: F.struct(size(k).alias("k"), c.alias("c")))
+
+    b = long(found).withColumn("h", F.explode(F.concat(*[cells(k) for k in (-1, 0, 1)]))).alias("b")
+    same = (F.col("a.doc_id") == F.col("b.doc_id")) & (F.col("a.category") == F.col("b.category")) & (F.col("a.k") == F.col("b.h.k")) & (F.col("a.c") == F.col("b.h.c"))
+    share = overlap_share(F.col("a.start"), F.col("a.end"), F.col("b.start"), F.col("b.end"))
+    ends = F.least("a.start", "b.start").alias("from"), F.greatest("a.end", "b.end").alias("to")
+    return a.join(b, same).select(F.col("a.doc_id").alias("doc_id"), F.col("a.category").alias("category"), "e", "f", share.alias("share"), *ends).filter(F.col("share") >= THRESHOLD)
+
+
 def matched(expected: DataFrame, found: DataFrame) -> DataFrame:
     """tp, fp and fn by document and category. Both: doc_id, category, start, end.
 
-    Only overlapping pairs of one document and category are joined; a group's pairs are few, as spans of one
-    side do not overlap each other much.
+    Candidates meet by cells, and a sweep over what pairs cover parts them into stretches: those that share a span
+    lie in one, so that the greedy choice is a fold over each stretch, of a few spans, and not over a document.
     """
-    rank = lambda d, n: d.select("doc_id", "category", "start", "end").withColumn(n, F.row_number().over(Window.partitionBy("doc_id", "category").orderBy("start", "end")))
+    group = ["doc_id", "category"]
+    rank = lambda d, n: d.select("doc_id", "category", "start", "end").withColumn(n, F.row_number().over(Window.partitionBy(*group).orderBy("start", "end")))
     e, f = rank(expected, "e"), rank(found, "f")
-    sizes = e.groupBy("doc_id", "category").agg(F.count("*").alias("n_expected")).join(f.groupBy("doc_id", "category").agg(F.count("*").alias("n_found")), ["doc_id", "category"], "full")
+    sizes = e.groupBy(*group).agg(F.count("*").alias("n_expected")).join(f.groupBy(*group).agg(F.count("*").alias("n_found")), group, "full")
     sizes = sizes.na.fill(0, ["n_expected", "n_found"])
-    a, b = e.alias("a"), f.alias("b")
-    same = (F.col("a.doc_id") == F.col("b.doc_id")) & (F.col("a.category") == F.col("b.category")) & (F.col("a.start") < F.col("b.end")) & (F.col("a.end") > F.col("b.start"))
-    share = overlap_share(F.col("a.start"), F.col("a.end"), F.col("b.start"), F.col("b.end"))
-    pairs = a.join(b, same).select(F.col("a.doc_id").alias("doc_id"), F.col("a.category").alias("category"), "e", "f", share.alias("share")).filter(F.col("share") >= THRESHOLD)
-    by_expected = pairs.groupBy("doc_id", "category", "e").agg(F.collect_list(F.struct("share", "f")).alias("choices"))
-    hits = by_expected.groupBy("doc_id", "category").agg(_greedy(F.collect_list(F.struct("e", "choices"))).alias("tp"))
-    out = sizes.join(hits, ["doc_id", "category"], "left").withColumn("tp", F.coalesce("tp", F.lit(0).cast("long")))
+    order = Window.partitionBy(*group).orderBy("from", "to", "e", "f")
+    pairs = candidates(e, f).withColumn("reach", F.max("to").over(order.rowsBetween(Window.unboundedPreceding, -1)))
+    begins = F.col("reach").isNull() | (F.col("from") >= F.col("reach"))
+    pairs = pairs.withColumn("stretch", F.sum(begins.cast("long")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    by_expected = pairs.groupBy(*group, "stretch", "e").agg(F.collect_list(F.struct("share", "f")).alias("choices"))
+    hits = by_expected.groupBy(*group, "stretch").agg(_greedy(F.collect_list(F.struct("e", "choices"))).alias("tp")).groupBy(*group).agg(F.sum("tp").alias("tp"))
+    out = sizes.join(hits, group, "left").withColumn("tp", F.coalesce("tp", F.lit(0).cast("long")))
     return out.select("doc_id", "category", "tp", (F.col("n_found") - F.col("tp")).alias("fp"), (F.col("n_expected") - F.col("tp")).alias("fn"))
 
 
