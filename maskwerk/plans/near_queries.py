@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maskwerk.operators import mapping, recognizers, scoring
+from maskwerk.operators import answers, mapping, recognizers, scoring
 from maskwerk.plans.more_queries import _HALVES, QUERIES, SQL  # noqa: F401
 from maskwerk.plans.queries import KEY, only, query, segments, table
 from maskwerk.plans.tables import shared_dir, written
@@ -82,3 +82,21 @@ def csv_of_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = csv_splits.cells(rows, ",").withColumn("doc_id", F.when(F.col("col") == 0, F.col("text")))
     both = cells.groupBy("path", "row").agg(F.max("doc_id").alias("doc_id"), F.max(F.when(F.col("col") == 1, F.col("text"))).alias("text"))
     return both.join(sizes, F.col("path") == F.col("p_")).select("doc_id", F.length("text").cast("long").alias("n_chars"), F.md5("text").alias("digest"), "gapless")
+
+
+@query("select doc_id, len(list_distinct(regexp_extract_all(coalesce(text, ''), '[a-z]{12,}')))::bigint as n_values from documents")
+def cached_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A model that names long words is asked once for each text; the second run must not ask, and has all answers."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    store = answers.Answers(spark, f"{shared_dir(spark).rstrip('/')}/answers-{uuid.uuid4().hex}", "long words 1")
+
+    def ask(texts):
+        import re
+
+        return texts.map(lambda t: [{"text": w, "type": "COMPANY"} for w in dict.fromkeys(re.findall("[a-z]{12,}", t))])
+
+    def refuse(texts):
+        raise RuntimeError("asked again")
+
+    store.answered(docs, ask)
+    return store.answered(docs, refuse).select("doc_id", F.size("values").cast("long").alias("n_values"))
