@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from maskwerk.operators import answers, mapping, recognizers, scoring
+from maskwerk.operators import segments as segments_
 from maskwerk.plans.more_queries import _HALVES, QUERIES, SQL  # noqa: F401
 from maskwerk.plans.queries import KEY, only, query, segments, table
 from maskwerk.plans.tables import shared_dir, written
@@ -100,3 +101,15 @@ def cached_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     store.answered(docs, ask)
     return store.answered(docs, refuse).select("doc_id", F.size("values").cast("long").alias("n_values"))
+
+
+@query("select c_custkey::bigint as key, c_custkey::bigint % 2 as commit, true as ok from customer")
+def segmented_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two batches of entries, in segments that tasks of their own have hashed: each entry's segment is as its commit says."""
+    log = segments_.SegmentedLog(spark, f"{shared_dir(spark).rstrip('/')}/log-{uuid.uuid4().hex}")
+    rows = table(spark, sf_dir, "customer").select(F.col(KEY).cast("long").alias("seq"), F.concat(F.lit("key "), F.col(KEY).cast("string")).alias("operation"), *[F.lit("x").alias(c) for c in segments_.FIELDS if c not in ("operation", "prev_hash")])
+    for half in (0, 1):
+        log.append(rows.filter(F.col("seq") % 2 == half), 400)
+    checked = log.verified().select(F.col("commit").alias("c_"), F.col("segment").alias("s_"), "ok")
+    entries = log.entries().select(F.substring("operation", 5, 20).cast("long").alias("key"), "commit", "segment")
+    return entries.join(checked, (F.col("commit") == F.col("c_")) & (F.col("segment") == F.col("s_"))).select("key", "commit", "ok")
