@@ -98,8 +98,12 @@ def rendered(template: str, values: list[Column]) -> tuple[Column, Column]:
 
 
 def corpus(spark: SparkSession, n: int, start: int = 0) -> DataFrame:
-    """doc_id, template, mode, country, original (as rendered), text (as it arrives) and slots, of n documents."""
-    rows = spark.range(start, start + n).withColumnRenamed("id", "doc_id")
+    """The documents of n numbers."""
+    return filled(spark.range(start, start + n).withColumnRenamed("id", "doc_id"))
+
+
+def filled(rows: DataFrame) -> DataFrame:
+    """doc_id, template, mode, country, original (as rendered), text (as it arrives) and slots, a document for each doc_id."""
     rows = rows.withColumns({
         "template": F.pmod("doc_id", F.lit(len(TEMPLATES))).cast("int"), "mode": _one(MODES, F.floor(F.col("doc_id") / len(TEMPLATES))),
         "country": _one(COUNTRIES, F.floor(F.col("doc_id") / (len(TEMPLATES) * len(MODES)))),

@@ -199,40 +199,45 @@ select client, "at", before >= 1 as allowed, case when before >= 1 then 0.0::dou
 
 # ---------------------------------------------------------------- the arena
 
-ARENA = 600
+_KEYS = "(select c_custkey::bigint as i from customer) t"
+
+
+def _letters_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A document for each customer."""
+    return arena.filled(table(spark, sf_dir, "customer").select(F.col(KEY).cast("long").alias("doc_id")))
 
 
 @query(f"""select case (i // 6) % 4 when 0 then 'clean' when 1 then 'reflow' when 2 then 'spacing' else 'list' end as mode, case (i // 24) % 3 when 0 then 'AT' when 1 then 'DE' else 'CH' end as country,
-    sum(case i % 6 when 0 then 4 when 1 then 4 when 2 then 4 when 3 then 4 when 4 then 3 else 4 end)::bigint as secrets from range({ARENA}) t(i) group by all""")
+    sum(case i % 6 when 0 then 4 when 1 then 4 when 2 then 4 when 3 then 4 when 4 then 3 else 4 end)::bigint as secrets from {_KEYS} group by all""")
 def arena_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of the arena by mode and country."""
-    return arena.secrets(arena.corpus(spark, ARENA)).groupBy("mode", "country").agg(F.count("*").alias("secrets"))
+    return arena.secrets(_letters_of(spark, sf_dir)).groupBy("mode", "country").agg(F.count("*").alias("secrets"))
 
 
-@query(f"select i as doc_id, true as ok from range({ARENA}) t(i)")
+@query(f"select i as doc_id, true as ok from {_KEYS}")
 def arena_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each slot's place holds its value."""
-    docs = arena.corpus(spark, ARENA)
+    docs = _letters_of(spark, sf_dir)
     held = F.forall("slots", lambda s: F.substring(F.col("original"), s["start"] + 1, s["end"] - s["start"]) == s["value"])
     return docs.select("doc_id", held.alias("ok"))
 
 
-def _arena_run(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
-    docs = written(arena.corpus(spark, ARENA).withColumn("seg_no", F.lit(0).cast("long")), "arena")
+def _arena_run(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    docs = written(_letters_of(spark, sf_dir).withColumn("seg_no", F.lit(0).cast("long")), "arena")
     return docs, mapping.anonymize(docs.select("doc_id", "seg_no", "text"))[0]
 
 
-@query(f"select mode, count(*)::bigint as documents, 0::bigint as leaks from (select case (i // 6) % 4 when 0 then 'clean' when 1 then 'reflow' when 2 then 'spacing' else 'list' end as mode from range({ARENA}) t(i)) where mode in ('clean', 'list') group by mode")
+@query(f"select mode, count(*)::bigint as documents, 0::bigint as leaks from (select case (i // 6) % 4 when 0 then 'clean' when 1 then 'reflow' when 2 then 'spacing' else 'list' end as mode from {_KEYS}) where mode in ('clean', 'list') group by mode")
 def arena_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents and leaks by mode, of the modes that keep values whole."""
-    docs, out = _arena_run(spark)
+    docs, out = _arena_run(spark, sf_dir)
     leaked = scoring.leaks(out, arena.secrets(docs)).groupBy("doc_id").agg(F.count("*").alias("n"))
     both = docs.filter(F.col("mode").isin("clean", "list")).join(leaked, "doc_id", "left")
     return both.groupBy("mode").agg(F.count("*").alias("documents"), F.sum(F.coalesce("n", F.lit(0))).alias("leaks"))
 
 
-@query(f"select sum(case i % 6 when 4 then 3 else 4 end)::bigint as secrets, sum(case i % 6 when 4 then 3 else 4 end)::bigint as seen, true as ok from range({ARENA}) t(i)")
+@query(f"select sum(case i % 6 when 4 then 3 else 4 end)::bigint as secrets, sum(case i % 6 when 4 then 3 else 4 end)::bigint as seen, true as ok from {_KEYS}")
 def arena_control(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The leak check sees every secret in the texts before they are anonymised."""
-    docs = arena.corpus(spark, ARENA)
+    docs = _letters_of(spark, sf_dir)
     return scoring.negative_control(docs.select("doc_id", "original"), arena.secrets(docs), "original")

@@ -273,16 +273,18 @@ def letters_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("doc_id", (F.col("restored") == F.col("text")).alias("same"))
 
 
-@query("select count(*)::bigint as uids, true as same from range(2000)")
+@query("select c_custkey::bigint // 2000 as doc_id, count(*)::bigint as uids, true as same from customer group by 1")
 def uid_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One text of 2,000 lines with a valid VAT id each, anonymised and restored: the published workload."""
-    digits = F.lpad((F.col("id") * 4999 + 1_000_000).cast("string"), 7, "0")
+    """Texts of 2,000 lines with a customer's valid VAT id each, anonymised and restored: the published workload, for each 2,000 customers."""
+    rows = table(spark, sf_dir, "customer").select(F.col(KEY).cast("long").alias("id"))
+    digits = F.lpad(((F.col("id") * 4999 + 1_000_000) % 10_000_000).cast("string"), 7, "0")
     total = sum((F.substring(digits, i, 1).cast("int") if i % 2 else F.floor(F.substring(digits, i, 1).cast("int") * 2 / 10).cast("int") + F.substring(digits, i, 1).cast("int") * 2 % 10 for i in range(1, 8)), F.lit(0))
     line = F.concat(F.lit("Zeile "), F.col("id").cast("string"), F.lit(" UID ATU"), digits, ((10 - (total + 4) % 10) % 10).cast("string"))
-    text = spark.range(2000).select(F.struct("id", line.alias("line")).alias("x")).agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["line"]), "\n").alias("text"))
-    out, codes = mapping.anonymize(text.select(F.lit(1).cast("long").alias("doc_id"), F.lit(0).cast("long").alias("seg_no"), "text"))
+    lines = rows.groupBy(F.expr("id div 2000").alias("doc_id")).agg(F.array_sort(F.collect_list(F.struct("id", line.alias("line")))).alias("x"))
+    text = lines.select("doc_id", F.array_join(F.col("x.line"), "\n").alias("text"))
+    out, codes = mapping.anonymize(segments(text))
     back = mapping.deanonymize(out.select("doc_id", "seg_no", "text", "anonymized"), codes)
-    return back.select(F.size("resolved").cast("long").alias("uids"), (F.col("restored") == F.col("text")).alias("same"))
+    return back.select("doc_id", F.size("resolved").cast("long").alias("uids"), (F.col("restored") == F.col("text")).alias("same"))
 
 
 @query()
