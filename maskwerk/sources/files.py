@@ -84,6 +84,24 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
     return out.select(F.col("path").alias("doc_id"), F.lit("cell").alias("part"), (F.col("row") * CSV_COLUMNS + F.col("col")).alias("seg_no"), "row", "col", "text")
 
 
+EXPECTED = "description string, seed long, spans array<struct<start:int,end:int,category:string,text:string>>"
+
+
+def read_fixtures(spark: SparkSession, folder: str) -> DataFrame:
+    """doc_id, text, description, seed, spans and error of fixtures: folders with input.txt and expected.json (EXPECTED).
+
+    A file without its partner, JSON that cannot be read, and a span whose place does not hold its text are rows with
+    an error; none are dropped.
+    """
+    named = lambda pattern: spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(folder, wholetext=True).select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2).alias("doc_id"), "value")
+    texts = named("input.txt").withColumnRenamed("value", "text")
+    given = named("expected.json").select(F.col("doc_id").alias("d_"), F.from_json("value", EXPECTED).alias("x"))
+    both = texts.join(given, F.col("doc_id") == F.col("d_"), "full")
+    wrong = F.exists("x.spans", lambda s: ~F.coalesce(F.substring(F.col("text"), s["start"] + 1, s["end"] - s["start"]) == s["text"], F.lit(False)))
+    error = F.when(F.col("doc_id").isNull(), "input.txt is missing").when(F.col("d_").isNull(), "expected.json is missing").when(F.col("x.spans").isNull(), "expected.json cannot be read").when(wrong, "a span is not where its text is")
+    return both.select(F.coalesce("doc_id", "d_").alias("doc_id"), "text", "x.description", "x.seed", "x.spans", error.alias("error"))
+
+
 def write_csv(cells: DataFrame, path: str, width: int, sep: str = ",") -> None:
     """Cells (row, col, text) as CSV rows of the given width."""
     wide = cells.groupBy("row").pivot("col", list(range(width))).agg(F.first("text"))

@@ -90,3 +90,33 @@ def test_excel_is_rewritten(spark, tmp_path):
     (tmp_path / "n.txt").write_bytes("süß".encode("cp1252"))
     got = {r["doc_id"].rsplit(".", 1)[1]: r["text"] for r in files.gate_texts(spark, str(tmp_path)).collect()}
     assert "EMAIL_001" in got["xlsx"] and got["txt"] == "süß"
+
+
+def test_fixture_pairs(spark, tmp_path):
+    """Pairs are scored; files without a partner, broken JSON and spans in wrong places are reported."""
+    import json
+
+    from maskwerk.operators import recognizers, scoring
+
+    def pair(name, text=None, spans=None, raw=None):
+        (tmp_path / name).mkdir()
+        if text is not None:
+            (tmp_path / name / "input.txt").write_text(text)
+        if spans is not None or raw is not None:
+            (tmp_path / name / "expected.json").write_text(raw if raw is not None else json.dumps({"description": name, "seed": 1, "spans": [{"start": s, "end": s + len(x), "category": c, "text": x} for s, c, x in spans]}, indent=2))
+
+    pair("good", "Mail an ü@x.at, post@beispiel.at\nund mehr", [(16, "EMAIL", "post@beispiel.at")])
+    pair("missed", "nichts hier", [(0, "EMAIL", "nichts")])
+    pair("alone", "nur Text")
+    pair("orphan", None, [])
+    pair("broken", "Text", raw="{")
+    pair("moved", "Text", [(1, "EMAIL", "Text")])
+    rows = files.read_fixtures(spark, str(tmp_path))
+    assert {r["doc_id"]: r["error"] for r in rows.collect()} == {
+        "good": None, "missed": None, "alone": "expected.json is missing", "orphan": "input.txt is missing", "broken": "expected.json cannot be read", "moved": "a span is not where its text is"
+    }
+    pairs = rows.filter("error is null")
+    spans = lambda column: pairs.select("doc_id", F.explode(column).alias("s")).select("doc_id", "s.category", "s.start", "s.end")
+    found = spans(recognizers.detect(F.col("text"), [r for r in recognizers.bundle() if r.name == "email"]))
+    report = {(r["level"], r["doc_id"] or r["category"]): (r["tp"], r["fp"], r["fn"]) for r in scoring.detailed_report(scoring.matched(spans("spans"), found)).collect()}
+    assert report["fixture", "good"] == (1, 0, 0) and report["fixture", "missed"] == (0, 0, 1) and report["total", None] == (1, 0, 1)
