@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from maskwerk.functions import arrays as A
 from maskwerk.functions import text as X
 from maskwerk.operators import merging
 from maskwerk.operators import spans as S
@@ -94,7 +95,7 @@ def numbered(keys: DataFrame, existing: DataFrame | None = None) -> DataFrame:
 
 
 def encode(found: DataFrame, existing: DataFrame | None = None, full: bool = False) -> tuple[DataFrame, DataFrame]:
-    """The mapping after these segments, and (category, normal, placeholder) for every key they use."""
+    """The mapping after these segments, and (category, normal, placeholder, first) for every key they use; first: the spelling that the mapping restores."""
     keys = first_seen(entities(found, full))
     old = existing.select("category", "normal", "placeholder") if existing is not None else None
     into = merged(keys, existing)
@@ -107,38 +108,66 @@ def encode(found: DataFrame, existing: DataFrame | None = None, full: bool = Fal
         used = heads.select("category", "normal", F.col("use_count").alias("more"))
         kept = existing.join(used, ["category", "normal"], "left").withColumn("use_count", F.col("use_count") + F.coalesce("more", F.lit(0))).select("placeholder", "category", "normal", "original", "use_count")
         table = kept.union(fresh)
-    named = table.select(F.col("category").alias("c_"), F.col("normal").alias("n_"), "placeholder")
-    codes = into.join(named, (F.col("category") == F.col("c_")) & (F.col("into") == F.col("n_"))).select("category", "normal", "placeholder")
+    named = table.select(F.col("category").alias("c_"), F.col("normal").alias("n_"), "placeholder", F.col("original").alias("first"))
+    codes = into.join(named, (F.col("category") == F.col("c_")) & (F.col("into") == F.col("n_"))).select("category", "normal", "placeholder", "first")
     return table, codes
 
 
+def _spelled(anonymized: Column, pieces: Column) -> Column:
+    """For each placeholder in an anonymised text, in order, what stood there, if the mapping restores something else; null if not.
+
+    pieces: start, end and to, in order, with own, the spelling there if it is not the mapping's. A placeholder
+    that was in the text before stands for itself.
+    """
+
+    def of(x: Column) -> Column:
+        moved = A.running(F.transform(x["pieces"], lambda p: F.length(p["to"]) - p["end"] + p["start"]))
+        put = F.zip_with(x["pieces"], moved, lambda p, m: F.struct((p["end"] + m - F.length(p["to"])).alias("at"), F.lit(0).alias("told"), p["own"].alias("own")))
+        told = F.transform(X.matches(x["text"], PLACEHOLDER), lambda h: F.struct(h["start"].alias("at"), F.lit(1).alias("told"), h["text"].alias("own")))
+        before = lambda o, s, i: F.when(F.get(o, i - 1)["at"] == s["at"], F.get(o, i - 1)["own"]).otherwise(s["own"])
+        each = A.let(F.array_sort(F.concat(put, told)), lambda o: F.transform(o, lambda s, i: F.struct(s["told"].alias("told"), before(o, s, i).alias("own"))))
+        return F.transform(F.filter(each, lambda s: s["told"] == 1), lambda s: s["own"])
+
+    return A.let(F.struct(anonymized.alias("text"), pieces.alias("pieces")), of)
+
+
 def anonymize(segments: DataFrame, existing: DataFrame | None = None, recognizers: Sequence[Recognizer] | None = None, full: bool = False) -> tuple[DataFrame, DataFrame]:
-    """segments with spans, anonymized and entity_counts; and the mapping afterwards.
+    """segments with spans, anonymized, entity_counts and spelled; and the mapping afterwards.
 
-    Codes are joined to spans, not broadcast; texts come back together by segment.
+    Codes are joined to spans, not broadcast; texts come back together by segment. spelled has what differs from
+    the mapping, such as another case of a spelling that was merged: `deanonymize` restores texts exactly with it.
     """
     found = written(detected(segments, recognizers), "detected")
     table, codes = encode(found, existing, full)
     rows = found.select("doc_id", "seg_no", F.explode("spans").alias("s"))
     rows = rows.withColumns({"category": F.col("s.category"), "normal": X.normalize(F.col("s.text"), full)}).join(codes, ["category", "normal"])
-    pieces = F.struct(F.col("s.start").alias("start"), F.col("s.end").alias("end"), F.col("placeholder").alias("to"))
+    pieces = F.struct(F.col("s.start").alias("start"), F.col("s.end").alias("end"), F.col("placeholder").alias("to"), F.when(F.col("s.text") != F.col("first"), F.col("s.text")).alias("own"))
     by_segment = rows.groupBy(F.col("doc_id").alias("d_"), F.col("seg_no").alias("s_")).agg(F.array_sort(F.collect_list(pieces)).alias("pieces"))
     both = found.join(by_segment, F.col("doc_id").eqNullSafe(F.col("d_")) & F.col("seg_no").eqNullSafe(F.col("s_")), "left").drop("d_", "s_")
     out = F.when(F.col("pieces").isNull(), F.col("text")).otherwise(S.splice(F.col("text"), F.col("pieces"), lambda p: p["to"]))
-    return both.withColumns({"anonymized": out, "entity_counts": S.counts(F.col("spans"))}).drop("pieces"), table
+    both = both.withColumns({"anonymized": out, "entity_counts": S.counts(F.col("spans"))})
+    pieces = F.coalesce("pieces", F.array().cast("array<struct<start:int,end:int,to:string,own:string>>"))
+    return both.withColumn("spelled", _spelled(F.coalesce("anonymized", F.lit("")), pieces)).drop("pieces"), table
 
 
 def deanonymize(texts: DataFrame, mapping: DataFrame, column: str = "anonymized") -> DataFrame:
-    """texts (doc_id, seg_no, column) with restored, resolved, missing and entity_counts. One pass; unknown placeholders stay."""
-    hits = F.transform(X.matches(F.coalesce(F.col(column), F.lit("")), PLACEHOLDER), lambda h: h)
+    """texts (doc_id, seg_no, column) with restored, resolved, missing and entity_counts. One pass; unknown placeholders stay.
+
+    With a column spelled, as `anonymize` gives it for the same texts, spellings that were merged come back as they
+    were; a placeholder that the text had before stays, and is neither resolved nor missing. Without it each
+    placeholder becomes the mapping's spelling.
+    """
+    own = F.coalesce("spelled", F.array().cast("array<string>")) if "spelled" in texts.columns else F.array().cast("array<string>")
+    hits = F.zip_with(X.matches(F.coalesce(F.col(column), F.lit("")), PLACEHOLDER), own, lambda h, o: F.struct(h["start"].alias("start"), h["end"].alias("end"), h["text"].alias("text"), o.alias("own")))
     rows = texts.select("doc_id", "seg_no", F.explode(hits).alias("h")).withColumn("placeholder", F.col("h.text"))
     known = mapping.select("placeholder", "original", "category")
-    piece = F.struct(F.col("h.start").alias("start"), F.col("h.end").alias("end"), F.col("h.text").alias("text"), F.col("original"), F.col("category"))
+    category = F.when(~F.col("h.own").eqNullSafe(F.col("h.text")), F.col("category"))
+    piece = F.struct(F.col("h.start").alias("start"), F.col("h.end").alias("end"), F.col("h.text").alias("text"), F.coalesce("h.own", "original").alias("original"), category.alias("category"))
     by_segment = rows.join(known, "placeholder", "left").groupBy(F.col("doc_id").alias("d_"), F.col("seg_no").alias("s_")).agg(F.array_sort(F.collect_list(piece)).alias("pieces"))
     both = texts.join(by_segment, F.col("doc_id").eqNullSafe(F.col("d_")) & F.col("seg_no").eqNullSafe(F.col("s_")), "left").drop("d_", "s_")
     pieces = F.coalesce("pieces", F.array().cast("array<struct<start:int,end:int,text:string,original:string,category:string>>"))
     both = both.withColumn("pieces", pieces)
-    known_ = F.filter("pieces", lambda p: p["original"].isNotNull())
+    known_ = F.filter("pieces", lambda p: p["category"].isNotNull())
     return both.withColumns({
         "restored": F.when(F.size("pieces") == 0, F.col(column)).otherwise(S.splice(F.col(column), F.col("pieces"), lambda p: F.coalesce(p["original"], p["text"]))),
         "resolved": F.transform(known_, lambda p: p["text"]),

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from maskwerk.operators import audit, mapping, permute, recognizers, scoring
 from maskwerk.operators import spans as S
+from maskwerk.plans import queries
 from maskwerk.streaming import folder
 
 CASES = [
@@ -107,6 +108,24 @@ def test_numbering_and_roundtrip(spark):
     assert [tuple(r) for r in mapping.missing(out, table.filter("placeholder != '<EMAIL_001>'")).collect()] == [(0, "<EMAIL_001>")]
 
 
+def test_merged_spellings_and_placeholders_in_texts_come_back(spark):
+    texts = ["A.B@x.at, a.b@X.at a.b@x.at", "a.b@x.at <EMAIL_001> <IBAN_007>", None, "", "<EMAIL_001>", "\U0001f600 c-d@x.at<EMAIL_002>c+d@x.at"]
+    out, table = mapping.anonymize(segments(spark, texts), recognizers=[r for r in recognizers.bundle() if r.name == "email"])
+    assert table.count() == 2
+    got = {r["doc_id"]: r for r in mapping.deanonymize(out.select("doc_id", "seg_no", "anonymized", "spelled"), table).collect()}
+    assert [got[i]["restored"] for i in range(6)] == texts and not any(r["missing"] for r in got.values())
+    assert [len(got[i]["resolved"]) for i in range(6)] == [3, 1, 0, 0, 0, 2] and got[1]["entity_counts"] == {"EMAIL": 1}
+    plain = {r["doc_id"]: r for r in mapping.deanonymize(out.select("doc_id", "seg_no", "anonymized"), table).collect()}
+    assert plain[0]["restored"] == "a.b@x.at, a.b@x.at a.b@x.at" and plain[1]["missing"] == ["<IBAN_007>"]
+
+
+def test_roundtrip_query_of_merged_and_missing_texts(spark, tmp_path):
+    rows = [(1, "An A.B@x.at"), (2, "an a.b@x.at"), (3, None), (4, "Muster <EMAIL_001> und <FN_004>")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.deanonymize_roundtrip(spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got)) == [(i, True, 0) for i in range(1, 5)]
+
+
 def test_existing_mappings_win_and_companies_merge(spark):
     first, table = mapping.anonymize(segments(spark, ["Musterhandel Wien GmbH zahlt", "Hofer AG"]))
     table = spark.createDataFrame(table.collect(), mapping.MAPPING)
