@@ -11,6 +11,9 @@ Rounds settle keys: one with an accepted neighbour before it is out; one with no
 accepted; one with a single open neighbour before it is what that one is not, which chains of such keys pass
 on by doubling reach. Hubs are summed to the least keys in them, so that large hubs shrink before the shuffle.
 Keys come in no order that names have, so that rounds are few; long chains in order are one round.
+
+Keys are numbers in order, and rounds are made in as many parts as there are places in hubs, so that a task's
+memory stays the same: these rows are compressed so well that parts of Spark's usual size would hold millions.
 """
 
 from __future__ import annotations
@@ -23,10 +26,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from maskwerk.functions import text as X
-from maskwerk.plans.tables import written
+from maskwerk.plans.tables import in_parts, written
 
 #: Places in hubs that one task may hold, about 100 bytes each; more are settled in rounds.
 FEW = 200_000
+#: Names, and places in hubs, of one task of a round, about.
+NAMES, PLACES = 10_000, 250_000
 
 #: Part of a name in a hub: with all others, with those that lack a letter of it, with those that have a letter more.
 ALL, LONG, SHORT = 0, 1, 2
@@ -164,17 +169,32 @@ def into(names: DataFrame, few: int = FEW) -> DataFrame:
     names: category, normal (both known), order (any type that sorts; a name's place within its category) and
     form (none: empty), core, letters. Up to `few` places in hubs, which are counted, are folded in one task.
     """
-    names = written(names.withColumn("key", F.struct("category", "order", "normal")), "merge-names")
-    links = written(near(names), "merge-hubs")
+    spark, order = names.sparkSession, ["category", "order", "normal"]
+    names = written(names, "merge-names")
+    ranges = max(1, -(-names.count() // NAMES))
+    # Parts are in order and their rows too, so that these ids are.
+    names = written(names.repartitionByRange(ranges, *order).sortWithinPartitions(*order).withColumn("key", F.monotonically_increasing_id()), "merge-keys")
+    places = names.agg(F.sum(2 * F.length("core") + 2)).first()[0] or 0  # at most
+    with in_parts(spark, max(1, -(-places // PLACES))):
+        links = written(near(names), "merge-hubs")
+        if links.limit(few + 1).count() > few:
+            return written(_in_rounds(names, links), "merge-into")
     linked = _met(names, links.select(F.col("key").alias("k_")), F.col("key") == F.col("k_"), "left_semi")
-    alone = _met(names, links.select(F.col("key").alias("k_")), F.col("key") == F.col("k_"), "left_anti").select("category", "normal", F.col("normal").alias("into"))
-    if links.limit(few + 1).count() <= few:
-        rows = linked.coalesce(1).sortWithinPartitions("order", "normal").select("category", "form", "normal", "core", "letters")
-        return rows.mapInPandas(_fold, "category string, normal string, into string").union(alone)
-    linked = written(linked, "merge-linked")
+    rows = linked.coalesce(1).sortWithinPartitions("order", "normal").select("category", "form", "normal", "core", "letters")
+    return rows.mapInPandas(_fold, "category string, normal string, into string").union(_alone(names, links))
+
+
+def _alone(names: DataFrame, links: DataFrame) -> DataFrame:
+    return _met(names, links.select(F.col("key").alias("k_")), F.col("key") == F.col("k_"), "left_anti").select("category", "normal", F.col("normal").alias("into"))
+
+
+def _in_rounds(names: DataFrame, links: DataFrame) -> DataFrame:
+    linked = written(_met(names, links.select(F.col("key").alias("k_")), F.col("key") == F.col("k_"), "left_semi"), "merge-linked")
     state = settled(links, linked)
     taken = _met(links, state.filter(F.col("status") == ACCEPTED).select(F.col("key").alias("k_")), F.col("key") == F.col("k_"), "left_semi")
     out = _met(links, state.filter(F.col("status") == OUT).select(F.col("key").alias("k_")), F.col("key") == F.col("k_"), "left_semi")
     best = beside(out, least(taken, F.lit(True), "head")).groupBy("key").agg(F.min("head").alias("head"))
     accepted = state.filter(F.col("status") == ACCEPTED).select("key", F.col("key").alias("head"))
-    return best.unionByName(accepted).select("key.category", "key.normal", F.col("head.normal").alias("into")).union(alone)
+    own, heads = linked.select(F.col("key").alias("k_"), "category", "normal"), linked.select(F.col("key").alias("h_"), F.col("normal").alias("into"))
+    pairs = _met(best.unionByName(accepted), own, F.col("key") == F.col("k_"))
+    return _met(pairs, heads, F.col("head") == F.col("h_")).select("category", "normal", "into").union(_alone(names, links))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,6 +24,25 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
+def dealt(rows: DataFrame, key: str, size: int) -> DataFrame:
+    """rows in parts of about `size` rows, by a key: for narrow rows from which much work is made, as a small file is one task's input."""
+    return rows.repartition(max(1, -(-rows.count() // size)), key)
+
+
+@contextmanager
+def in_parts(spark: SparkSession, n: int, file_bytes: str = "16m") -> Iterator[None]:
+    """What is evaluated inside is shuffled into n parts, whatever their bytes are, and reads files in small ones: for rows that compress well."""
+    some = {"spark.sql.shuffle.partitions": str(n), "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.files.maxPartitionBytes": file_bytes}
+    before = {k: spark.conf.get(k, None) for k in some}
+    try:
+        for k, v in some.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """df with its lineage cut by files in the shared folder."""
     shared_dir(df.sparkSession)

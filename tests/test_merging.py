@@ -101,3 +101,24 @@ def test_existing_names_come_first_by_number(spark, few):
 @pytest.mark.parametrize("few", [0, merging.FEW])
 def test_nothing(spark, few):
     assert answer(mapping.merged(rows(spark, []), few=few)) == {} and answer(mapping.merged(rows(spark, ["a ag"]), few=few)) == {("COMPANY", "a ag"): "a ag"}
+
+
+def test_rounds_hold_as_many_places_as_asked_for(spark, monkeypatch):
+    """However well their rows are compressed, tables of a round are made in parts of NAMES names and PLACES places in hubs."""
+    made, write = {}, merging.written
+    monkeypatch.setattr(merging, "NAMES", 100, raising=False)
+    monkeypatch.setattr(merging, "PLACES", 2000, raising=False)
+
+    def counted(df, name):
+        out = write(df, name)
+        made.setdefault(name, []).append([r["count"] for r in out.groupBy(F.input_file_name()).count().collect()])
+        return out
+
+    monkeypatch.setattr(merging, "written", counted)
+    names = ["".join("abcdefghij"[int(d)] for d in f"{i:012d}") + " ag" for i in range(2000)]
+    setting = spark.conf.get("spark.sql.shuffle.partitions")
+    got = answer(mapping.merged(rows(spark, names), few=0))
+    into = merging.greedy([n[:-3] for n in names], [n[:-3] for n in names])
+    assert got == {("COMPANY", n): names[k] for n, k in zip(names, into, strict=True)}
+    assert max(made["merge-hubs"][0]) < 4000 and max(max(x) for x in made["merge-links"]) < 4000 and max(made["merge-keys"][0]) < 300
+    assert spark.conf.get("spark.sql.shuffle.partitions") == setting
