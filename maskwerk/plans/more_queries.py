@@ -11,8 +11,8 @@ from maskwerk.functions import text as X
 from maskwerk.operators import audit, mapping, permute, recognizers, scoring
 from maskwerk.operators import spans as S
 from maskwerk.plans import arena
-from maskwerk.plans.queries import _CODES, _EXPECTED, _MAILS, KEY, QUERIES, SQL, letters, only, query, segments, table
-from maskwerk.plans.tables import shared_dir, written
+from maskwerk.plans.queries import _CODES, _EXPECTED, _MAILS, KEY, LETTERS, QUERIES, SQL, letters, only, query, segments, table
+from maskwerk.plans.tables import dealt, shared_dir, written
 from maskwerk.streaming import folder
 
 
@@ -224,7 +224,7 @@ def arena_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _arena_run(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     docs = written(_letters_of(spark, sf_dir).withColumn("seg_no", F.lit(0).cast("long")), "arena")
-    return docs, mapping.anonymize(docs.select("doc_id", "seg_no", "text"))[0]
+    return docs, mapping.anonymize(dealt(docs.select("doc_id", "seg_no", "text"), "doc_id", LETTERS))[0]
 
 
 @query(f"select mode, count(*)::bigint as documents, 0::bigint as leaks from (select case (i // 6) % 4 when 0 then 'clean' when 1 then 'reflow' when 2 then 'spacing' else 'list' end as mode from {_KEYS}) where mode in ('clean', 'list') group by mode")

@@ -15,7 +15,7 @@ from maskwerk.functions import checksums as C
 from maskwerk.functions import text as X
 from maskwerk.operators import audit, mapping, permute, recognizers, scoring
 from maskwerk.operators import spans as S
-from maskwerk.plans.tables import written
+from maskwerk.plans.tables import dealt, written
 from maskwerk.sources import files
 from maskwerk.streaming import folder
 
@@ -148,8 +148,13 @@ LETTER = """concat('Herr Max Muster', case when c_custkey % 2 = 0 then 'mann' el
     case when c_custkey % 13 = 0 then '<IBAN_001> ' else '' end, 'Es grüßt Anna von der Leyen.')"""
 
 
+#: Letters of one task: a second or some of detection.
+LETTERS = 4000
+
+
 def letters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "customer").select(F.col(KEY).cast("long").alias("doc_id"), F.expr(LETTER).alias("text"))
+    """The letters, dealt out by their keys: a file of millions of customers is small enough for a single task."""
+    return dealt(table(spark, sf_dir, "customer").select(KEY), KEY, LETTERS).select(F.col(KEY).cast("long").alias("doc_id"), F.expr(LETTER).alias("text"))
 
 
 _EXPECTED = " union all ".join(

@@ -126,6 +126,13 @@ def test_roundtrip_query_of_merged_and_missing_texts(spark, tmp_path):
     assert sorted(map(tuple, got)) == [(i, True, 0) for i in range(1, 5)]
 
 
+def test_letters_are_many_tasks(spark, tmp_path):
+    """However small the file of customers is: each makes a letter in which all recognisers look."""
+    spark.range(9000).withColumnRenamed("id", "c_custkey").coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    parts = [r["count"] for r in queries.letters(spark, str(tmp_path)).groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(parts) == 9000 and max(parts) < 1.2 * queries.LETTERS
+
+
 def test_existing_mappings_win_and_companies_merge(spark):
     first, table = mapping.anonymize(segments(spark, ["Musterhandel Wien GmbH zahlt", "Hofer AG"]))
     table = spark.createDataFrame(table.collect(), mapping.MAPPING)
